@@ -10,7 +10,7 @@ def _load() -> None:
     import panelwright.plans as package
 
     for module in sorted(m.name for m in pkgutil.iter_modules(package.__path__)):
-        if module not in ("registry", "catalogue"):
+        if module not in ("registry", "catalogue", "oracle_views"):
             importlib.import_module(f"panelwright.plans.{module}")
 
 

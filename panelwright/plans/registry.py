@@ -7,8 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelwright.plans.oracle_views import ORACLE_VIEWS
 from panelwright.sources.views import VIEW_SQL, Inputs
 
+SQL_VIEWS = {**VIEW_SQL, **ORACLE_VIEWS}
+
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -30,7 +33,7 @@ def views_used(sql: str) -> list[str]:
     order: list[str] = []
 
     def visit(text: str) -> None:
-        for name, body in VIEW_SQL.items():
+        for name, body in SQL_VIEWS.items():
             if name not in order and re.search(rf"\b{name}\b", text):
                 visit(body)
                 order.append(name)
@@ -45,9 +48,7 @@ def with_views(sql: str) -> str:
     text = sql.strip()
     if not names:
         return text
-    ctes = ",\n".join(f"{name} AS ({VIEW_SQL[name].strip()})" for name in names)
-    if re.match(r"(?i)with\s+recursive\b", text):
-        return f"WITH RECURSIVE {ctes},\n" + re.sub(r"(?i)^with\s+recursive\b", "", text, count=1)
+    ctes = ",\n".join(f"{name} AS ({SQL_VIEWS[name].strip()})" for name in names)
     if re.match(r"(?i)with\b", text):
         return f"WITH {ctes},\n" + re.sub(r"(?i)^with\b", "", text, count=1)
     return f"WITH {ctes}\n{text}"
