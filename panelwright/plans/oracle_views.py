@@ -58,3 +58,13 @@ SELECT *, ln(1 + lag_export_usd) AS log_export,
             + (own_investment IS NULL)::INT + (own_current_account IS NULL)::INT AS INT) AS missing_own_features
 FROM sector_candidates WHERE eligible""",
 }
+
+ORACLE_VIEWS["catalog"] = """
+SELECT DISTINCT key, 'Priority ' || substr(key, 2) AS name,
+       CASE WHEN key IN ('p1', 'p2', 'p3') THEN 'monthly' WHEN key = 'p4' THEN 'year to date rate' ELSE 'year to date amount' END AS basis,
+       CASE WHEN key IN ('p1', 'p2') THEN 'urgent' ELSE 'normal' END AS topic FROM monthly_obs"""
+ORACLE_VIEWS["pub"] = """
+SELECT *, CAST(make_date(CAST(floor((mid + 1) / 12) AS INT), CAST((mid + 1) % 12 + 1 AS INT), 1) + CAST(publication_lag_days AS INT) AS DATE) AS published
+FROM monthly_obs"""
+ORACLE_VIEWS["spine"] = """
+SELECT key, CAST(unnest(generate_series(a, b)) AS INT) AS mid FROM (SELECT key, min(mid) AS a, max(mid) AS b FROM monthly_obs GROUP BY key)"""
