@@ -68,3 +68,11 @@ SELECT *, CAST(make_date(CAST(floor((mid + 1) / 12) AS INT), CAST((mid + 1) % 12
 FROM monthly_obs"""
 ORACLE_VIEWS["spine"] = """
 SELECT key, CAST(unnest(generate_series(a, b)) AS INT) AS mid FROM (SELECT key, min(mid) AS a, max(mid) AS b FROM monthly_obs GROUP BY key)"""
+ORACLE_VIEWS["exp_rates"] = """
+SELECT y.year, y.hs2, (sum(k.outcome) + 1) / (count(k.outcome) + 2) AS global_rate, count(k.outcome) AS train_n,
+       CASE WHEN count(k.outcome) FILTER (WHERE k.hs2 = y.hs2) > 0
+            THEN (sum(k.outcome) FILTER (WHERE k.hs2 = y.hs2) + 2) / (count(k.outcome) FILTER (WHERE k.hs2 = y.hs2) + 4)
+            ELSE (sum(k.outcome) + 1) / (count(k.outcome) + 2) END AS sector_rate
+FROM (SELECT DISTINCT year, hs2 FROM sector_rows) y JOIN sector_rows k ON k.year < y.year GROUP BY y.year, y.hs2"""
+ORACLE_VIEWS["sector_scored"] = """
+SELECT s.*, r.global_rate, r.sector_rate, r.train_n FROM sector_rows s JOIN exp_rates r ON r.year = s.year AND r.hs2 = s.hs2"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -50,3 +50,13 @@ def use_checkpoints(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
+
+
+def materialized(frame: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a table that several branches of a query read.
+
+    The feature table is small next to the flows it is made of; writing it once keeps the branches from
+    recomputing the flows and survives the loss of any executor.
+    """
+    use_checkpoints(frame.sparkSession)
+    return frame.checkpoint()
