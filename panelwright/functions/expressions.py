@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def rounded(column: Column | str, digits: int) -> Column:
-    """Round and fold negative zero."""
+    """Round the binary value (not its printed decimals) and fold negative zero."""
     column = F.col(column) if isinstance(column, str) else column
-    return F.round(column, digits) + F.lit(0.0)
+    scale = float(10**digits)
+    return F.round(column * scale, 0) / scale + F.lit(0.0)
 
 
 def ratio(top: Column, bottom: Column) -> Column:

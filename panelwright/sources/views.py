@@ -99,6 +99,43 @@ SELECT t AS year, e.iso3 AS country_code, m.iso3 AS partner_code, left(k, 2) AS
 FROM flows_raw JOIN country_dim e ON i = e.numeric_code JOIN country_dim m ON j = m.numeric_code
 WHERE i <> j AND try_cast(left(k, 2) AS INT) BETWEEN 1 AND 97
 GROUP BY t, e.iso3, m.iso3, left(k, 2)
+""",
+    # monthly reports of every supplier: the numbers, and the articles written from them
+    "report_src": """
+WITH b AS (SELECT l_suppkey AS s, CAST(year(l_shipdate) * 12 + month(l_shipdate) - 1 AS INT) AS mid,
+                  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS x FROM lineitem GROUP BY 1, 2)
+SELECT s, mid, concat(CAST(s AS STRING), '-', CAST(mid AS STRING)) AS doc_id, CAST(floor(mid / 12) AS INT) AS y,
+       CAST(mid % 12 + 1 AS INT) AS m, CAST(floor((mid + 1) / 12) AS INT) AS py, CAST((mid + 1) % 12 + 1 AS INT) AS pm,
+       CAST(9 + s % 15 AS INT) AS pd, CAST((s + mid) % 7 AS INT) AS form, CAST(floor(x / 10000) AS BIGINT) AS amt,
+       CAST(x % 301 - 100 AS INT) AS c1, CAST(CAST(floor(x / 301) AS BIGINT) % 81 - 40 AS INT) AS c2,
+       CAST(CAST(floor(x / 7) AS BIGINT) % 61 - 30 AS INT) AS c3, CAST(CAST(floor(x / 11) AS BIGINT) % 40 + 30 AS INT) AS u
+FROM b
+""",
+    "articles": """
+WITH t AS (SELECT *, concat(CAST(floor(abs(c1) / 10) AS INT), '.', abs(c1) % 10) AS n1,
+  concat(CAST(floor(abs(c2) / 10) AS INT), '.', abs(c2) % 10) AS n2, concat(CAST(floor(abs(c3) / 10) AS INT), '.', abs(c3) % 10) AS n3,
+  concat(CAST(floor(u / 10) AS INT), '.', u % 10) AS nu, c1 + CASE WHEN s % 10 = 3 THEN 1 ELSE 0 END AS t1,
+  amt + CASE WHEN s % 9 = 4 THEN 777 ELSE 0 END AS amt2,
+  CASE WHEN s % 11 = 5 THEN amt + 10 ELSE CAST(floor(amt * 4 / 5) AS BIGINT) END AS tax FROM report_src),
+w AS (SELECT *, CASE WHEN s % 2 = 0 THEN concat(amt, '亿元') ELSE concat(CAST(floor(amt / 10000) AS BIGINT), '.', lpad(CAST(amt % 10000 AS STRING), 4, '0'), '万亿元') END AS loan,
+  CASE WHEN s % 2 = 0 THEN concat(amt2, '亿元') ELSE concat(CAST(floor(amt2 / 10000) AS BIGINT), '.', lpad(CAST(amt2 % 10000 AS STRING), 4, '0'), '万亿元') END AS loan2,
+  CASE form WHEN 0 THEN concat(y, '年', m, '月份国民经济运行情况') WHEN 1 THEN concat(m, '月份居民消费价格变动情况')
+    WHEN 2 THEN concat(y, '年1—', m, '月份规模以上工业企业利润下降') WHEN 3 THEN concat(y, '年上半年国民经济运行情况')
+    WHEN 4 THEN concat(y, '年前三季度社会消费品零售总额增长') WHEN 5 THEN concat(y, '年全国房地产开发投资增长') ELSE '统计公报' END AS title FROM t)
+SELECT doc_id, s, mid, title, concat('https://stats.example.org/', py, lpad(CAST(pm AS STRING), 2, '0'), '/t', doc_id, '.html') AS url,
+concat('<html><head>', CASE WHEN s % 4 <> 1 THEN concat('<meta name="PubDate" content="', py, '/', pm, '/', pd, '">') ELSE '' END,
+'<title>', title, '</title></head><body><div class="list">发布时间：', py, '年', pm, '月', pd, '日</div> <a href="/index.html">目录</a>
+<div class="content"><p>工业生产者购进价格环比上涨9.9%，工业生产者出厂价格同比下降1.1%，环比由上月下降0.2%转为',
+CASE WHEN c3 > 0 THEN concat('上涨', n3, '%') WHEN c3 < 0 THEN concat('下降', n3, '%') ELSE '持平' END, '；其中生活资料环比上涨7.7%。</p>
+<p>一、', m, '月份，全国居民 消费价格同比', CASE WHEN c1 > 0 THEN concat('上涨', n1, '%') WHEN c1 < 0 THEN concat('下降', n1, '%') ELSE '持平' END, '。工业生产者出厂价格环比上涨8.8%。</p>
+<p>', m, '月份，社会消费品零售总额', amt, '亿元，同比', CASE WHEN c2 > 0 THEN concat('增长', n2, '%') WHEN c2 < 0 THEN concat('下降', n2, '%') ELSE '持平' END, '。全国城镇调查失业率为', nu, '%。</p>
+<p>前', m, '个月人民币贷款增加', loan, '。1—', m, '月，人民币贷款累计增加', loan2, '。</p>
+<p>全国一般公共预算收入', amt, '亿元，', CASE WHEN s % 3 = 0 THEN concat('同比增长5.5%，按自然口径计算', CASE WHEN c1 < 0 THEN '下降' ELSE '增长' END, n1, '%') ELSE concat('比上年同期', CASE WHEN c2 < 0 THEN '下降' ELSE '增长' END, n2, '%') END,
+'。全国税收收入', tax, '亿元，与上年同期持平。</p>
+<table><tr><th rowspan="2">指标</th><th colspan="2">', y, '.', m, '</th></tr><tr><th>环比涨跌幅（%）</th><th>同比涨跌幅（%）</th></tr>
+<tr><td>居民消费价格</td><td>', CASE WHEN c2 < 0 THEN '−' ELSE '' END, n2, '</td><td>', CASE WHEN t1 < 0 THEN '−' ELSE '' END, concat(CAST(floor(abs(t1) / 10) AS INT), '.', abs(t1) % 10), '</td></tr>
+<tr><td>工业生产者出厂价格</td><td>', CASE WHEN c3 < 0 THEN '−' ELSE '' END, n3, '</td><td>—</td></tr></table></div></body></html>') AS html
+FROM w
 """,
 }
 
