@@ -58,13 +58,13 @@ def route_top1(inp):
 @query("keyword_route", """
 SELECT question_id, CASE qform WHEN 0 THEN 'observation' WHEN 1 THEN 'difference' WHEN 2 THEN 'mean' WHEN 3 THEN 'extrema' WHEN 4 THEN 'forecast' WHEN 5 THEN 'evaluation' WHEN 8 THEN 'extrema' ELSE 'observation' END AS tool FROM questions""")
 def keyword_route(inp):
-    return inp.questions.select("question_id", op.keyword_route(F.col("question")).alias("tool"))
+    return op.keyword_route(inp.questions).select("question_id", "tool")
 
 
 @query("alias_longest_match", """
 SELECT question_id, CASE WHEN qform = 9 THEN 'ambiguous' ELSE ['cpi_yoy', 'cpi_mom', 'ppi_yoy', 'ppi_mom', 'manufacturing_pmi', 'manufacturing_new_orders_pmi', 'nonmanufacturing_pmi'][k + 1] END AS key FROM questions""")
 def alias_longest_match(inp):
-    return inp.questions.select("question_id", op.resolve_alias(F.col("question")).alias("key"))
+    return op.resolve_alias(inp.questions)
 
 
 @query("period_mentions", """
@@ -77,8 +77,7 @@ def period_mentions(inp):
 SELECT question_id, CASE qform WHEN 6 THEN 'unsupported_claim' WHEN 7 THEN 'unsafe_request' WHEN 8 THEN 'ambiguous_operation' END AS reason,
   CASE WHEN qform = 7 THEN '[sensitive content removed]' ELSE question END AS displayed FROM questions""")
 def request_guard(inp):
-    reasoned = inp.questions.withColumn("reason", op.guard(F.col("question")))
-    return reasoned.select("question_id", "reason", op.displayed(F.col("question"), F.col("reason")).alias("displayed"))
+    return op.guard(inp.questions).select("question_id", "reason", "displayed")
 
 
 @query("filtered_retrieval", f"""
