@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.expressions import month_label
 
-BY_KEY = Window.partitionBy("key").orderBy("mid")
+
+def by_key():
+    """Months of one indicator in order."""
+    return Window.partitionBy("key").orderBy("mid")
 
 
 def lagged(months: int, column: str = "value") -> Column:
     """Value exactly ``months`` earlier (negative: later)."""
-    return F.max(column).over(BY_KEY.rangeBetween(-months, -months))
+    return F.max(column).over(by_key().rangeBetween(-months, -months))
 
 
 def with_published(monthly: DataFrame) -> DataFrame:
@@ -55,7 +58,7 @@ def trailing_spine(monthly: DataFrame, end: int, months: int) -> DataFrame:
 
 def gap_segments(monthly: DataFrame) -> DataFrame:
     """Runs of consecutive months with their number, bounds and length."""
-    island = F.col("mid") - F.row_number().over(BY_KEY)
+    island = F.col("mid") - F.row_number().over(by_key())
     runs = monthly.withColumn("_i", island).groupBy("key", "_i").agg(
         F.min("mid").alias("first_mid"), F.max("mid").alias("last_mid"), F.count("*").alias("length")
     )
@@ -63,7 +66,7 @@ def gap_segments(monthly: DataFrame) -> DataFrame:
 
 
 def calendar_gaps(monthly: DataFrame) -> DataFrame:
-    following = F.lead("mid").over(BY_KEY)
+    following = F.lead("mid").over(by_key())
     return monthly.select("key", "mid", following.alias("next_mid")).filter("next_mid - mid > 1").withColumn(
         "missing_months", F.col("next_mid") - F.col("mid") - 1
     )
@@ -71,7 +74,7 @@ def calendar_gaps(monthly: DataFrame) -> DataFrame:
 
 def simple_baselines(monthly: DataFrame) -> DataFrame:
     """Persistence, seasonal and drift forecasts of every month from its own past."""
-    past = BY_KEY.rowsBetween(Window.unboundedPreceding, -1)
+    past = by_key().rowsBetween(Window.unboundedPreceding, -1)
     n = F.count("value").over(past)
     last = lagged(1)
     drift = last + (last - F.first("value").over(past)) / F.nullif(n - 1, F.lit(0))
@@ -83,7 +86,7 @@ def simple_baselines(monthly: DataFrame) -> DataFrame:
 def seasonal_scale(monthly: DataFrame) -> DataFrame:
     """Mean absolute year-on-year difference over the past of every origin; NULL when numerically zero."""
     moves = monthly.withColumn("_d", F.abs(F.col("value") - lagged(12)))
-    past = BY_KEY.rowsBetween(Window.unboundedPreceding, -1)
+    past = by_key().rowsBetween(Window.unboundedPreceding, -1)
     scale = F.avg("_d").over(past)
     return moves.select("key", "mid", "value", F.when(scale > 1e-12, scale).alias("mase_scale"),
                         F.count("_d").over(past).alias("pairs"))
@@ -91,8 +94,8 @@ def seasonal_scale(monthly: DataFrame) -> DataFrame:
 
 def prefix_context(monthly: DataFrame, shortest: int = 36, longest: int = 60) -> DataFrame:
     """All prior values of each origin in order, if their number is within bounds and the last one is adjacent."""
-    past = BY_KEY.rowsBetween(Window.unboundedPreceding, -1)
-    bounded = BY_KEY.rowsBetween(-longest, -1)
+    past = by_key().rowsBetween(Window.unboundedPreceding, -1)
+    bounded = by_key().rowsBetween(-longest, -1)
     rows = monthly.select(
         "key", "mid", F.count("*").over(past).alias("context_n"), lagged(1, "mid").alias("previous"),
         F.collect_list("mid").over(bounded).alias("periods"), F.collect_list("value").over(bounded).alias("values"),
@@ -140,7 +143,7 @@ def topic_headlines(changes: DataFrame, latest: int) -> DataFrame:
 
 def rolling_percentile(monthly: DataFrame, months: int = 60, minimum: int = 24, coverage: float = 70.0) -> DataFrame:
     """Mid-rank within the trailing window, given enough observations, and the exact year-ago change."""
-    window = BY_KEY.rangeBetween(-(months - 1), 0)
+    window = by_key().rangeBetween(-(months - 1), 0)
     rows = monthly.withColumns({
         "_s": F.collect_list("value").over(window), "sample": F.count("value").over(window), "_ago": lagged(12),
     })
@@ -214,7 +217,7 @@ def anomaly_features(monthly: DataFrame) -> DataFrame:
 def chronological_split(samples: DataFrame, holdout: int = 12, minimum: int = 24) -> DataFrame:
     """train: first samples; test: the last calendar months of the series; validation: everything between."""
     last = F.max("mid").over(Window.partitionBy("key"))
-    n = F.row_number().over(BY_KEY)
+    n = F.row_number().over(by_key())
     return samples.withColumn(
         "split", F.when(n <= minimum, "train").when(F.col("mid") > last - holdout, "test").otherwise("validation")
     )
@@ -245,7 +248,7 @@ def boundary_violations(published: DataFrame, issue_day: int = 20) -> DataFrame:
 
 def origin_plan(published: DataFrame, months: int = 12) -> DataFrame:
     """Forecast origins of the last two blocks of months with their context bounds and publication dates."""
-    past = BY_KEY.rowsBetween(Window.unboundedPreceding, -1)
+    past = by_key().rowsBetween(Window.unboundedPreceding, -1)
     last = F.max("mid").over(Window.partitionBy("key"))
     back = last - F.col("mid")
     rows = published.select(
