@@ -56,6 +56,11 @@ def plain_text(html: Column) -> Column:
     return F.regexp_replace(text, "[−－]", "-")
 
 
+def with_text(pages: DataFrame) -> DataFrame:
+    """Plain text of every page, computed once: a generator keeps later filters from repeating it."""
+    return pages.withColumn("text", F.explode(F.array(plain_text(F.col("html")))))
+
+
 def quarantine(pages: DataFrame, markers: tuple[str, ...], largest: int) -> DataFrame:
     """Why a page is not usable, checked in fixed order; NULL for usable pages."""
     html = F.col("html")
@@ -270,7 +275,9 @@ def html_table_cells(pages: DataFrame) -> DataFrame:
             rows = [(d, *cell) for d, h in zip(batch["doc_id"], batch["html"]) for cell in _expanded(h)]
             yield pd.DataFrame(rows, columns=["doc_id", "table_no", "row_no", "col_no", "text"])
 
-    return pages.select("doc_id", "html").mapInPandas(expand, CELL_SCHEMA)
+    # only the tables travel to Python, not the pages around them
+    tables = F.array_join(F.regexp_extract_all("html", F.lit(r"(?is)(<table\b.*?</table>)"), F.lit(1)), "")
+    return pages.select("doc_id", tables.alias("html")).mapInPandas(expand, CELL_SCHEMA)
 
 
 def table_values(cells: DataFrame) -> DataFrame:

@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.expressions import hash_number  # noqa: F401  (re-exported for plans)
-
 CELL = ["year", "indicator_code"]
 
 

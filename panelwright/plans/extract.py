@@ -8,7 +8,7 @@ HOSTS = ["blog.tionsh.example.net", "ththther.example.org", "www.ththhe.example.
 
 
 def texts(inp):
-    return inp.articles.select("doc_id", "title", op.plain_text(F.col("html")).alias("text"))
+    return op.with_text(inp.articles).select("doc_id", "title", "text")
 
 
 @query("page_text", r"""

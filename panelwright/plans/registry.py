@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,8 +55,14 @@ def with_views(sql: str) -> str:
     return f"WITH {ctes}\n{text}"
 
 
+@lru_cache(maxsize=4)
+def inputs(spark: SparkSession, directory: str) -> Inputs:
+    """Lazy tables of a directory, shared by the queries of a session so that footers are read once."""
+    return Inputs(spark, directory)
+
+
 def bound(fn: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(Inputs(spark, sf_dir))
+        return fn(inputs(spark, sf_dir))
 
     return run

@@ -49,6 +49,12 @@ def event_time(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def rows_dropped_late(query) -> int:
+    """Rows a finished or running query discarded because they were behind the watermark."""
+    return sum(int(state["numRowsDroppedByWatermark"]) for progress in query.recentProgress
+               for state in progress["stateOperators"])
+
+
 class RevisionProcessor(StatefulProcessor):
     """Last accepted reading per (key, month); emits a log row when a later one differs."""
 
@@ -77,15 +83,18 @@ class RevisionProcessor(StatefulProcessor):
 
 
 LOG_COLUMNS = ["key", "mid", "old_value", "new_value", "old_url", "new_url", "change_type"]
-LOG_SCHEMA = ("key string, mid int, old_value double, new_value double, old_url string, new_url string, "
-              "change_type string")
+LOG_SCHEMA = T.StructType([
+    T.StructField("key", T.StringType()), T.StructField("mid", T.IntegerType()), T.StructField("old_value", T.DoubleType()),
+    T.StructField("new_value", T.DoubleType()), T.StructField("old_url", T.StringType()),
+    T.StructField("new_url", T.StringType()), T.StructField("change_type", T.StringType()),
+])
 
 
 def revision_log(readings: DataFrame) -> DataFrame:
     """Append-only log of changed readings; ``sequence`` is the ingest order."""
     readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return readings.groupBy("key", "mid").transformWithStateInPandas(
-        RevisionProcessor(), outputStructType=T._parse_datatype_string(LOG_SCHEMA), outputMode="Append", timeMode="None")
+        RevisionProcessor(), outputStructType=LOG_SCHEMA, outputMode="Append", timeMode="None")
 
 
 def windowed_counts(events: DataFrame, width: str, delay: str) -> DataFrame:
