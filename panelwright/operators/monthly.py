@@ -327,9 +327,8 @@ def preset_window(monthly: DataFrame, presets: DataFrame, end: int, months: int)
 
 def missing_worklist(monthly: DataFrame, reference: str) -> DataFrame:
     """Months the reference series has and another series lacks."""
-    keys = monthly.filter(F.col("key") != reference).select("key").distinct().withColumn("ref", F.lit(reference))
-    months = monthly.filter(F.col("key") == reference).select(F.col("key").alias("ref"), "mid")
-    wanted = keys.join(months, "ref").select("key", "mid")
+    months = monthly.filter(F.col("key") == reference).agg(F.collect_set("mid")).scalar()  # a calendar
+    wanted = monthly.filter(F.col("key") != reference).select("key").distinct().withColumn("mid", F.explode(months))
     return wanted.join(monthly.select("key", "mid"), ["key", "mid"], "left_anti")
 
 

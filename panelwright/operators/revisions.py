@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def fingerprint(frame: DataFrame, columns: list, keys: list[str]) -> DataFrame:
-    """Order-insensitive content hash per group.
+def fingerprint(frame: DataFrame, columns: list, keys: list[str], extra: tuple[Column, ...] = ()) -> DataFrame:
+    """Order-insensitive content hash per group, with further aggregates of the same pass if asked for.
 
     Every row is hashed; the five 48-bit pieces of each hash are added up, which combines map-side and
     needs no collected list, and the sums are hashed again. Row order and partitioning cannot matter.
@@ -18,9 +18,8 @@ def fingerprint(frame: DataFrame, columns: list, keys: list[str]) -> DataFrame:
         F.sum(F.conv(F.substring("_h", 1 + 12 * n, 12), 16, 10).cast("decimal(20,0)")).alias(f"_p{n}") for n in range(5)
     ]
     text = F.concat_ws(":", F.col("rows").cast("string"), *[F.col(f"_p{n}").cast("string") for n in range(5)])
-    return hashed.groupBy(*keys).agg(F.count("*").alias("rows"), *pieces).select(
-        *keys, "rows", F.sha2(text, 256).alias("fingerprint")
-    )
+    grouped = hashed.groupBy(*keys).agg(F.count("*").alias("rows"), *pieces, *extra)
+    return grouped.withColumn("fingerprint", F.sha2(text, 256)).drop(*[f"_p{n}" for n in range(5)])
 
 
 def latest_by(frame: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

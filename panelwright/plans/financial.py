@@ -70,11 +70,8 @@ SELECT g.country_code, g.measure, g.year, l.mid, round(ch.value, 10) + 0.0 AS va
 FROM g LEFT JOIN l USING (country_code, measure, year) LEFT JOIN ch ON ch.country_code = l.country_code AND ch.measure = l.measure AND ch.mid = l.mid""")
 def latest_index_change(inp):
     changed = op.latest_in_year(op.change_12m(index(inp)), ["country_code", "measure"])
-    years = F.sequence(F.min("year"), F.max("year"))
-    # one row with the calendar span, spread over the distinct areas
-    span = changed.agg(years.alias("years")).withColumn("k", F.lit(1))
-    areas = changed.select("country_code").distinct().withColumn("k", F.lit(1))
-    grid = areas.join(F.broadcast(span), "k").select("country_code", F.explode("years").alias("year")).withColumn(
+    span = changed.agg(F.sequence(F.min("year"), F.max("year"))).scalar()
+    grid = changed.select("country_code").distinct().withColumn("year", F.explode(span)).withColumn(
         "measure", F.explode(F.array(F.lit("nominal"), F.lit("real_value"))))
     return grid.join(changed, ["country_code", "measure", "year"], "left").select(
         "country_code", "measure", "year", "mid", rounded("value", 10).alias("value"),

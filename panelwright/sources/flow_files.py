@@ -39,9 +39,8 @@ def read_flow_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def edge_audit(edges: DataFrame) -> DataFrame:
     """Rows, total and content fingerprint of every year."""
-    return fingerprint(
-        edges, ["country_code", "partner_code", "hs2", F.round("trade_usd", 4).cast("decimal(24,4)")], ["year"]
-    ).join(edges.groupBy("year").agg(F.sum("trade_usd").alias("total_usd")), "year")
+    cells = ["country_code", "partner_code", "hs2", F.round("trade_usd", 4).cast("decimal(24,4)")]
+    return fingerprint(edges, cells, ["year"], (F.sum("trade_usd").alias("total_usd"),))
 
 
 def write_edges(edges: DataFrame, path: str, raw_totals: DataFrame) -> DataFrame:
