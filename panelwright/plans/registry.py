@@ -58,6 +58,7 @@ def with_views(sql: str) -> str:
 @lru_cache(maxsize=4)
 def inputs(spark: SparkSession, directory: str) -> Inputs:
     """Lazy tables of a directory, shared by the queries of a session so that footers are read once."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables hold UTC wall-clock times
     return Inputs(spark, directory)
 
 
