@@ -176,11 +176,11 @@ def scenario_decomposition(weighted: DataFrame, shocks: DataFrame, alpha: float
     parts = direct.select(*NODE, "market", "direct", F.lit(0.0).alias("indirect")).unionByName(
         indirect.select(*NODE, "market", F.lit(0.0).alias("direct"), "indirect")
     )
-    totals = parts.rollup(F.struct(*NODE).alias("node"), "market").agg(
+    totals = parts.groupingSets([(*NODE, "market"), tuple(NODE)], *NODE, "market").agg(
         F.grouping_id().alias("level"), F.sum("direct").alias("direct"), F.sum("indirect").alias("indirect")
-    ).filter("level <= 1")
+    )
     named = totals.select(
-        "node.*", F.when(F.col("level") == 1, "combined").otherwise(F.col("market")).alias("scenario"),
+        *NODE, F.when(F.col("level") == 1, "combined").otherwise(F.col("market")).alias("scenario"),
         "direct", "indirect",
     )
     zero = weighted.select(*NODE).distinct().select(
@@ -207,11 +207,11 @@ def gdp_shock_exposure(edges: DataFrame, shocks: DataFrame) -> DataFrame:
     """Partner weight times a GDP shock in percentage points; per partner and total."""
     weighted = weights(edges).join(shocks.withColumnRenamed("country_code", "partner_code"), "partner_code", "left")
     table = weighted.withColumn("shock_pp", F.coalesce("shock_pp", F.lit(0.0))).filter(F.abs("shock_pp") <= 10)
-    total = table.rollup(F.struct(*NODE).alias("node"), "partner_code").agg(
+    total = table.groupingSets([(*NODE, "partner_code"), tuple(NODE)], *NODE, "partner_code").agg(
         F.grouping_id().alias("level"), F.sum("weight").alias("weight"),
         F.sum(F.col("weight") * F.col("shock_pp")).alias("exposure_pp"),
     )
-    return total.filter("level <= 1").select(
-        "node.*", F.when(F.col("level") == 1, "TOTAL").otherwise(F.col("partner_code")).alias("partner_code"),
+    return total.select(
+        *NODE, F.when(F.col("level") == 1, "TOTAL").otherwise(F.col("partner_code")).alias("partner_code"),
         "weight", "exposure_pp",
     )
