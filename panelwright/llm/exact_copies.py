@@ -31,6 +31,7 @@ def exact_copies(reports: DataFrame, report_id: str = "report_id", text: str = "
         F.lit(True).alias("kept"), sha.alias("text_sha256"))
     several = rows.join(buckets, "_bucket", "left_semi")
     groups = several.groupBy("digest", "text").agg(F.max("report_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = groups.repartition("keep_id")  # leaves the grouping's partitions, so that the join below can split a hot group
     grouped = several.join(groups, ["digest", "text"]).select(
         "report_id", "keep_id", "group_size", (F.col("report_id") == F.col("keep_id")).alias("kept"), sha.alias("text_sha256"))
     return single.unionByName(grouped)
