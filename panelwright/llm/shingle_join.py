@@ -16,12 +16,12 @@ COUNTERS = 1 << 20
 LEVELS = 4
 #: Cost of verifying a candidate, in postings read.
 VERIFY_COST = 40.0
-#: Rarest tokens of a document that find its first partner.
+#: Tokens of a document, smallest hashes first, at which it meets the most typical document that holds them.
 HEADS = 6
 #: Postings of one group in the join, on average.
 GROUP_POSTINGS = 400_000
 _FACTORS = np.random.default_rng(77).integers(1, 1 << 62, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("label", "<i8"), ("size", "<i4"), ("level", "u1"), ("asked", "u1")])
+_POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("label", "<i8"), ("size", "<i4"), ("place", "<i4"), ("level", "u1"), ("asked", "u1")])
 
 
 def shingle_lists(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -85,20 +85,22 @@ def _signatures(width: int, percent: int, spread):
         counts = np.frombuffer(spread.value, np.uint32).astype(np.float64)
         noise = counts.mean()
         for keys, texts in steps(batches):
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], [], []]
             for key, listed in zip(keys, shingle_lists(texts, width)):
                 tokens = np.unique(listed)
-                chosen, asked = np.empty(0, np.uint64), 1
+                chosen, asked, typical = np.empty(0, np.uint64), 1, 0.0
                 if len(tokens):
-                    chosen, asked = prefix(tokens, 1 + np.maximum(0, counts[tokens >> np.uint64(44)] - noise), percent)
+                    estimate = 1 + np.maximum(0, counts[tokens >> np.uint64(44)] - noise)
+                    chosen, asked = prefix(tokens, estimate, percent)
+                    typical = float(np.log(estimate).mean())
                 one = int(tokens.sum(dtype=np.uint64)) if len(tokens) else 0
                 two = int(np.bitwise_xor.reduce(mixed(tokens + np.uint64(1)))) if len(tokens) else 0
-                for column, value in zip(rows, (key, len(tokens), one.to_bytes(8, "little") + two.to_bytes(8, "little"), chosen.tobytes(), chosen[:HEADS].view(np.int64).tolist(), asked)):
+                for column, value in zip(rows, (key, len(tokens), one.to_bytes(8, "little") + two.to_bytes(8, "little"), chosen.tobytes(), tokens[:HEADS].view(np.int64).tolist(), asked, typical)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary()),
-                 pa.array(rows[4], pa.list_(pa.int64())), pa.array(rows[5], pa.int32())],
-                names=["report_id", "size", "content", "tokens", "heads", "asked"])
+                 pa.array(rows[4], pa.list_(pa.int64())), pa.array(rows[5], pa.int32()), pa.array(rows[6], pa.float64())],
+                names=["report_id", "size", "content", "tokens", "heads", "asked", "typical"])
 
     return sign
 
@@ -120,7 +122,7 @@ def _postings(percent: int, groups: int):
                     out[name] = np.repeat(np.asarray(batch.column(column)), lengths)
                 place = np.arange(len(out)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 base = np.repeat(sizes - np.array([needed(int(s), percent) for s in sizes], np.int64) + 1, lengths)
-                out["level"] = np.maximum(1, place - base + 2)
+                out["place"], out["level"] = place, np.maximum(1, place - base + 2)
                 group = (mixed(out["token"]) % np.uint64(groups)).astype(np.int64)
                 order = np.argsort(group, kind="stable")
                 cut = np.flatnonzero(np.diff(group[order])) + 1
@@ -132,8 +134,11 @@ def _postings(percent: int, groups: int):
     return post
 
 
-def matches(postings: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, asked) of documents of different label that share a prefix token and may be similar by their sizes.
+def matches(postings: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of postings (smaller, larger document) of different label that share a prefix token and may be similar.
+
+    They may be by their sizes and by where the token stands: no more tokens can be shared than stand before it in both, itself,
+    and those that stand after it in both.
 
     The larger document of a pair (at equal size that of greater id) asks: only tokens within its prefix count. Runs of one
     token and one label are passed over; the others are compared at distance 1, 2, ... so no run is held as a square.
@@ -156,22 +161,28 @@ def matches(postings: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np
         if not len(at):
             return
         x, y = postings[at], postings[at + far]
+        after = np.minimum(x["size"] - x["place"], y["size"] - y["place"]).astype(np.int64)
+        most = np.minimum(x["place"], y["place"]) + after
         ok = (x["label"] != y["label"]) & (x["level"] <= y["asked"]) & (y["level"] <= y["asked"])
+        ok &= (100 + percent) * most >= percent * (size[at] + size[at + far])
         if ok.any():
-            x, y = x[ok], y[ok]
-            yield np.minimum(x["doc"], y["doc"]), np.maximum(x["doc"], y["doc"]), y["asked"]
+            yield x[ok], y[ok]
+
+
+CANDIDATES = "a long, b long, asked int, sizes long, shared long, after_a int, after_b int"
 
 
 def _candidates(percent: int):
     def find(key, rows):
-        """Candidate pairs of one token group with the number of tokens they share here."""
+        """Pairs of one token group: shared tokens seen here, and how many stand after the last of them in each document."""
         import pandas as pd
 
         found = list(matches(np.frombuffer(b"".join(rows["postings"]), _POSTING), percent))
-        if not found:
-            return pd.DataFrame({"a": [], "b": [], "asked": [], "shared": []}).astype({"a": "int64", "b": "int64", "asked": "int32", "shared": "int64"})
-        frame = pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found]), "asked": np.concatenate([f[2] for f in found]).astype("int32")})
-        return frame.groupby(["a", "b", "asked"], sort=False).size().rename("shared").reset_index()
+        x, y = (np.concatenate([f[k] for f in found]) if found else np.empty(0, _POSTING) for k in (0, 1))
+        frame = pd.DataFrame({
+            "a": x["doc"], "b": y["doc"], "asked": y["asked"].astype("int32"), "sizes": x["size"].astype("int64") + y["size"], "shared": np.ones(len(x), "int64"),
+            "after_a": (x["size"] - x["place"] - 1).astype("int32"), "after_b": (y["size"] - y["place"] - 1).astype("int32")})
+        return frame.groupby(["a", "b", "asked", "sizes"], sort=False, as_index=False).agg({"shared": "sum", "after_a": "min", "after_b": "min"})
 
     return find
 
@@ -217,8 +228,8 @@ def shingle_components(reports: DataFrame, percent: int = 75, width: int = 5, re
 
     Method: shingles are 64-bit hashes, their frequencies estimated by 2**20 counters over all reports. Reports with
     equal sets are one. Each other report gets a prefix, rarest tokens first, and the number l of shared prefix tokens it asks
-    for (``prefix``). First, every report meets one other for each of its rarest tokens; whole texts decide, and the links give first
-    components. Then all pairs of different components that share l prefix tokens are verified: no pair that reaches the similarity
+    for (``prefix``). First, at each of its ``HEADS`` smallest tokens every report meets the report with the commonest tokens of those
+    that hold it; whole texts decide, and the links give first components: a group of copies has a star, not all its pairs. Then all pairs of different components that share l prefix tokens are verified: no pair that reaches the similarity
     can share fewer, so no link between components is lost. Pairs inside one component change nothing and are not listed.
     """
     spark = reports.sparkSession
@@ -226,13 +237,14 @@ def shingle_components(reports: DataFrame, percent: int = 75, width: int = 5, re
     counts = summed_counts(rows.mapInArrow(_frequencies(width), "chunk int, counts binary"), COUNTERS)
     spread = spark.sparkContext.broadcast(counts.tobytes())  # 4 MB at any size
     signed = staged(rows.mapInArrow(_signatures(width, percent, spread),
-                    "report_id long, size int, content binary, tokens binary, heads array<long>, asked int"), "signatures")
+                    "report_id long, size int, content binary, tokens binary, heads array<long>, asked int, typical double"), "signatures")
     some = signed.where("size > 0")
-    first = some.groupBy("content").agg(F.min(F.struct("report_id", "size", "asked", "heads")).alias("r")).select("content", "r.*")
+    first = some.groupBy("content").agg(F.min(F.struct("report_id", "size", "typical", "heads")).alias("r")).select("content", "r.*")
     first = staged(first, "sets")
-    heads = first.select("report_id", "size", F.explode("heads").alias("token"))
-    hub = heads.groupBy("token").agg(F.min("report_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = heads.join(hub, "token").select("a", F.col("report_id").alias("b")).where("a <> b").distinct()
+    heads = first.select("report_id", "typical", F.explode("heads").alias("token"))
+    hub = heads.groupBy("token").agg(F.max(F.struct("typical", "report_id"))["report_id"].alias("a"), F.count("*").alias("n")).where("n > 1")
+    stars = heads.join(hub, "token").select("a", F.col("report_id").alias("b")).where("a <> b")
+    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sizes = first.select("report_id", "size")
     stars = (stars.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
              .where(f"least(size_a, size_b) * 100L >= greatest(size_a, size_b) * {percent}L").select("a", "b"))
@@ -244,10 +256,17 @@ def shingle_components(reports: DataFrame, percent: int = 75, width: int = 5, re
     total = some.agg(F.coalesce(F.sum(F.length("tokens") / 8), F.lit(0))).first()[0]
     groups = max(64, int(total // GROUP_POSTINGS))
     posted = kept.select("report_id", "label", "size", "tokens", "asked").mapInArrow(_postings(percent, groups), "token_group long, postings binary")
-    found = posted.groupBy("token_group").applyInPandas(_candidates(percent), "a long, b long, asked int, shared long")
-    pairs = found.groupBy("a", "b").agg(F.max("asked").alias("asked"), F.sum("shared").alias("shared")).where("shared >= asked").select("a", "b")
+    found = posted.groupBy("token_group").applyInPandas(_candidates(percent), CANDIDATES)
+    pairs = found.groupBy("a", "b", "asked", "sizes").agg(F.sum("shared").alias("shared"), F.min("after_a").alias("after_a"), F.min("after_b").alias("after_b"))
+    pairs = pairs.where(f"shared >= asked AND (shared + least(after_a, after_b)) * {100 + percent}L >= sizes * {percent}L").select("a", "b")
     hard = _linked(staged(pairs, "candidates"), rows, width, percent)
-    final = components(easy.unionByName(hard)).toDF("first_id", "label")
-    member = first.select("content", F.col("report_id").alias("first_id")).join(final, "first_id", "left").select("content", F.coalesce("label", "first_id").alias("component_id"))
+    # links between first components, instead of all links between their members
+    label = F.coalesce("label", "report_id")
+    bridges = hard
+    for side in ("a", "b"):
+        bridges = bridges.join(labels.toDF(side, "label"), side, "left").withColumn(side, F.coalesce("label", side)).drop("label")
+    joined = components(bridges.distinct()).toDF("label", "component_id")
+    member = (first.select("content", "report_id").join(labels, "report_id", "left").select("content", label.alias("label"))
+              .join(joined, "label", "left").select("content", F.coalesce("component_id", "label").alias("component_id")))
     return some.join(member, "content").select("report_id", F.col("size").cast("long").alias("n_shingles"), "component_id").unionByName(
         signed.where("size = 0").select("report_id", F.lit(0).cast("long").alias("n_shingles"), F.col("report_id").alias("component_id")))
