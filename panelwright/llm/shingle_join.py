@@ -19,9 +19,9 @@ VERIFY_COST = 40.0
 #: Tokens of a document, smallest hashes first, at which it meets the most typical document that holds them.
 HEADS = 6
 #: Postings of one group in the join, on average.
-GROUP_POSTINGS = 400_000
+GROUP_POSTINGS = 200_000
 _FACTORS = np.random.default_rng(77).integers(1, 1 << 62, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("label", "<i8"), ("size", "<i4"), ("place", "<i4"), ("level", "u1"), ("asked", "u1")])
+_POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("label", "<i8"), ("size", "<i4"), ("place", "<i4"), ("asked", "<i4")])
 
 
 def shingle_lists(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -105,7 +105,7 @@ def _signatures(width: int, percent: int, spread):
     return sign
 
 
-def _postings(percent: int, groups: int):
+def _postings(groups: int):
     def post(batches: Iterator):
         """Prefix tokens of a batch of documents, dealt into groups by token; a group's postings are one binary value."""
         import pyarrow as pa
@@ -115,14 +115,12 @@ def _postings(percent: int, groups: int):
                 batch = whole.slice(low, 2000)
                 blobs = batch.column(3).to_pylist()
                 lengths = np.array([len(b) // 8 for b in blobs])
-                sizes = np.asarray(batch.column(2))
                 out = np.empty(int(lengths.sum()), _POSTING)
                 out["token"] = np.frombuffer(b"".join(blobs), np.uint64)
                 for name, column in (("doc", 0), ("label", 1), ("size", 2), ("asked", 4)):
                     out[name] = np.repeat(np.asarray(batch.column(column)), lengths)
                 place = np.arange(len(out)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                base = np.repeat(sizes - np.array([needed(int(s), percent) for s in sizes], np.int64) + 1, lengths)
-                out["place"], out["level"] = place, np.maximum(1, place - base + 2)
+                out["place"] = place
                 group = (mixed(out["token"]) % np.uint64(groups)).astype(np.int64)
                 order = np.argsort(group, kind="stable")
                 cut = np.flatnonzero(np.diff(group[order])) + 1
@@ -140,7 +138,8 @@ def matches(postings: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np
     They may be by their sizes and by where the token stands: no more tokens can be shared than stand before it in both, itself,
     and those that stand after it in both.
 
-    The larger document of a pair (at equal size that of greater id) asks: only tokens within its prefix count. Runs of one
+    The larger document of a pair (at equal size that of greater id) asks for l shared tokens. With the overlap that the pair needs,
+    they stand among the first ``size - overlap + l`` tokens of each document; others are passed over. Runs of one
     token and one label are passed over; the others are compared at distance 1, 2, ... so no run is held as a square.
     """
     postings = postings[np.lexsort((postings["doc"], postings["size"], postings["token"]))]
@@ -163,8 +162,9 @@ def matches(postings: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np
         x, y = postings[at], postings[at + far]
         after = np.minimum(x["size"] - x["place"], y["size"] - y["place"]).astype(np.int64)
         most = np.minimum(x["place"], y["place"]) + after
-        ok = (x["label"] != y["label"]) & (x["level"] <= y["asked"]) & (y["level"] <= y["asked"])
-        ok &= (100 + percent) * most >= percent * (size[at] + size[at + far])
+        overlap = -(-percent * (size[at] + size[at + far]) // (100 + percent))
+        ok = (x["label"] != y["label"]) & (most >= overlap)
+        ok &= (x["place"] < x["size"] - overlap + y["asked"]) & (y["place"] < y["size"] - overlap + y["asked"])
         if ok.any():
             yield x[ok], y[ok]
 
@@ -255,7 +255,7 @@ def shingle_components(reports: DataFrame, percent: int = 75, width: int = 5, re
     kept = some.join(representatives, "report_id").dropDuplicates(["report_id", "content"])
     total = some.agg(F.coalesce(F.sum(F.length("tokens") / 8), F.lit(0))).first()[0]
     groups = max(64, int(total // GROUP_POSTINGS))
-    posted = kept.select("report_id", "label", "size", "tokens", "asked").mapInArrow(_postings(percent, groups), "token_group long, postings binary")
+    posted = kept.select("report_id", "label", "size", "tokens", "asked").mapInArrow(_postings(groups), "token_group long, postings binary")
     found = posted.groupBy("token_group").applyInPandas(_candidates(percent), CANDIDATES)
     pairs = found.groupBy("a", "b", "asked", "sizes").agg(F.sum("shared").alias("shared"), F.min("after_a").alias("after_a"), F.min("after_b").alias("after_b"))
     pairs = pairs.where(f"shared >= asked AND (shared + least(after_a, after_b)) * {100 + percent}L >= sizes * {percent}L").select("a", "b")
