@@ -41,7 +41,7 @@ def token_counts(reports: DataFrame, cache: str, tokenizer: str, limit: int = 10
     first run. Content is normalised by reading null as empty, and by nothing else, since any other change could change a
     count. The key is the SHA-256 of the content together with the digest of the tokenizer file ``tokenizer``. Each
     distinct missing text is encoded once, where it lies; copies take the stored count. Special strings in a text are
-    encoded as the library does by default. ``over_limit`` is n_tokens > ``limit``. Rows without an id are left out,
+    encoded as the library does by default. A row repeated with its id may be encoded and stored again. ``over_limit`` is n_tokens > ``limit``. Rows without an id are left out,
     repeated rows repeated; an empty table gives an empty result. If two runs append the same digest at once, its equal
     counts are read as one.
 
