@@ -42,3 +42,18 @@ def hash_number(text: Column) -> Column:
 
 def finite(column: Column) -> Column:
     return column.isNotNull() & ~F.isnan(column) & (F.abs(column) != float("inf"))
+
+
+def order_bits(column: Column) -> Column:
+    """A 64-bit whole number in the order of the doubles: the bits of the binary format, negated for negative values.
+
+    NULL and NaN give NULL; both zeros give 0.
+    """
+    value = column.cast("double")
+    text = F.format_string("%a", F.abs(value))
+    digits = F.rpad(F.regexp_extract(text, r"\.([0-9a-f]+)p", 1), 13, "0")
+    exponent = F.regexp_extract(text, r"p(-?\d+)$", 1).try_cast("bigint")
+    biased = F.when(text.startswith("0x1"), exponent + 1023).otherwise(0)
+    bits = F.when(F.abs(value) == float("inf"), F.lit(2047 << 52)).otherwise(
+        F.shiftleft(biased, 52) + F.conv(digits, 16, 10).try_cast("bigint"))
+    return F.when(value.isNotNull() & ~F.isnan(value), F.when(value < 0, -bits).otherwise(bits))

@@ -17,14 +17,17 @@ SECTIONS = ((1, 5, "Section A"), (6, 14, "Section B"), (15, 25, "Section C"))
 
 
 def country_dimension(nation: DataFrame, region: DataFrame) -> DataFrame:
-    """Code dimension; only unique numeric codes with a non-empty ISO code survive."""
+    """Code dimension. A numeric code that is missing, stated twice or without an ISO code stops the job: dropping it would
+    lose all its flows without a word."""
     dim = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         F.col("n_nationkey").alias("numeric_code"),
         F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("iso3"),
         F.col("n_name").alias("name"),
     )
-    unique = dim.groupBy("numeric_code").count().filter("count = 1").select("numeric_code")
-    return dim.filter(F.col("iso3").isNotNull()).join(unique, "numeric_code", "left_semi")
+    codes = dim.groupBy("numeric_code").agg(F.count("*").alias("_n"), F.min("iso3").alias("iso3"), F.min("name").alias("name"))
+    sound = F.col("numeric_code").isNotNull() & F.col("iso3").isNotNull() & (F.col("_n") == 1)
+    checked = F.assert_true(sound, F.concat(F.lit("country code missing or not unique: "), F.coalesce(F.col("numeric_code").cast("string"), F.lit("null"))))
+    return codes.filter(checked.isNull()).select("numeric_code", "iso3", "name")
 
 
 def sided(dim: DataFrame, code: str, prefix: str) -> DataFrame:

@@ -58,36 +58,38 @@ def node_vectors(weighted: DataFrame, shocks: DataFrame) -> DataFrame:
 
 
 def exposures(weighted: DataFrame, shocks: DataFrame) -> DataFrame:
-    """Direct and two-hop indices, retained mass and return coefficient of every origin.
+    """Direct and two-hop indices and retained mass of every origin.
 
     ``W (W s)``: the node vector of the first hop is joined back on the partner side. Retained mass is the
-    weight of partners that report onward edges (each row of W sums to one), and the return coefficient joins
-    every edge with its reverse edge.
+    weight of partners that report onward edges (each row of W sums to one).
     """
     first = node_vectors(weighted, shocks)
     onward = first.select(
         "year", "hs2", F.col("country_code").alias("partner_code"), F.col("direct").alias("p_direct"),
         F.col("direct_shocked_weight").alias("p_shocked"),
     )
-    back = weighted.select(
-        "year", "hs2", F.col("country_code").alias("partner_code"), F.col("partner_code").alias("country_code"),
-        F.col("weight").alias("back"),
-    )
-    hops = weighted.join(onward, ["year", "hs2", "partner_code"], "left").join(
-        back, ["year", "hs2", "country_code", "partner_code"], "left"
-    )
+    hops = weighted.join(onward, ["year", "hs2", "partner_code"], "left")
     second = hops.groupBy(*NODE).agg(
         F.sum(F.col("weight") * F.coalesce("p_direct", F.lit(0.0))).alias("indirect"),
         F.sum(F.col("weight") * F.coalesce("p_shocked", F.lit(0.0))).alias("two_hop_shocked_weight"),
         F.sum(F.when(F.col("p_direct").isNotNull(), F.col("weight")).otherwise(0.0)).alias("retained_mass"),
         F.count_if(F.col("p_direct").isNull()).alias("dead_end_partners"),
-        F.sum(F.col("weight") * F.coalesce("back", F.lit(0.0))).alias("cycle_return"),
     )
     return first.join(second, NODE).withColumn(
         "unreported_onward_mass", F.greatest(F.lit(0.0), 1 - F.col("retained_mass"))
     )
 
 
+def cycle_return(weighted: DataFrame) -> DataFrame:
+    """Share of an origin's exports that its partners send straight back: every edge meets its reverse edge."""
+    back = weighted.select(
+        "year", "hs2", F.col("country_code").alias("partner_code"), F.col("partner_code").alias("country_code"),
+        F.col("weight").alias("back"),
+    )
+    return weighted.join(back, ["year", "hs2", "country_code", "partner_code"], "left").groupBy(*NODE).agg(
+        F.sum(F.col("weight") * F.coalesce("back", F.lit(0.0))).alias("cycle_return"))
+
+
 def blended(alpha: Column | float) -> Column:
     alpha = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
     return (F.col("direct") + alpha * F.col("indirect")) / (1 + alpha)
@@ -203,15 +205,21 @@ def graph_quality(weighted: DataFrame) -> DataFrame:
     )
 
 
-def gdp_shock_exposure(edges: DataFrame, shocks: DataFrame) -> DataFrame:
-    """Partner weight times a GDP shock in percentage points; per partner and total."""
+def gdp_shock_exposure(edges: DataFrame, shocks: DataFrame, limit: float = 10.0) -> DataFrame:
+    """Partner weight times a GDP shock in percentage points; per partner and total.
+
+    Every edge stays. A shock that is not finite or beyond ``limit`` either way is refused: it gives no exposure, and
+    neither does a total that would need it; ``refused`` counts such partners.
+    """
     weighted = weights(edges).join(shocks.withColumnRenamed("country_code", "partner_code"), "partner_code", "left")
-    table = weighted.withColumn("shock_pp", F.coalesce("shock_pp", F.lit(0.0))).filter(F.abs("shock_pp") <= 10)
+    stated = F.coalesce("shock_pp", F.lit(0.0))
+    allowed = finite(stated) & (F.abs(stated) <= limit)
+    table = weighted.withColumns({"_part": F.when(allowed, F.col("weight") * stated), "_refused": (~allowed).cast("int")})
     total = table.groupingSets([(*NODE, "partner_code"), tuple(NODE)], *NODE, "partner_code").agg(
-        F.grouping_id().alias("level"), F.sum("weight").alias("weight"),
-        F.sum(F.col("weight") * F.col("shock_pp")).alias("exposure_pp"),
+        F.grouping_id().alias("level"), F.sum("weight").alias("weight"), F.sum("_part").alias("exposure_pp"),
+        F.sum("_refused").alias("refused"),
     )
     return total.select(
         *NODE, F.when(F.col("level") == 1, "TOTAL").otherwise(F.col("partner_code")).alias("partner_code"),
-        "weight", "exposure_pp",
+        "weight", F.when(F.col("refused") == 0, F.col("exposure_pp")).alias("exposure_pp"), "refused",
     )

@@ -10,10 +10,12 @@ def fingerprint(frame: DataFrame, columns: list, keys: list[str], extra: tuple[C
     """Order-insensitive content hash per group, with further aggregates of the same pass if asked for.
 
     Every row is hashed; the five 48-bit pieces of each hash are added up, which combines map-side and
-    needs no collected list, and the sums are hashed again. Row order and partitioning cannot matter.
+    needs no collected list, and the sums are hashed again. Row order and partitioning cannot matter. A cell is
+    written with its length before it and a missing one as ``N``, so no two different rows look alike.
     """
-    parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("<null>")) for c in columns]
-    hashed = frame.withColumn("_h", F.sha2(F.concat_ws("|", *parts), 256))
+    cells = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("N")) for c in cells]
+    hashed = frame.withColumn("_h", F.sha2(F.concat(*parts), 256))
     pieces = [
         F.sum(F.conv(F.substring("_h", 1 + 12 * n, 12), 16, 10).cast("decimal(20,0)")).alias(f"_p{n}") for n in range(5)
     ]

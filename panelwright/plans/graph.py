@@ -114,7 +114,7 @@ def retained_mass(inp):
 
 @query("cycle_return", "SELECT year, hs2, origin, round(cyc, 8) + 0.0 AS cycle_return FROM expo")
 def cycle_return(inp):
-    return exposed(inp).select(*NODE, rounded("cycle_return", 8).alias("cycle_return"))
+    return op.cycle_return(weighted(inp)).select("year", "hs2", F.col("country_code").alias("origin"), rounded("cycle_return", 8).alias("cycle_return"))
 
 
 @query("alpha_sensitivity", """
@@ -150,15 +150,16 @@ def graph_quality(inp):
 
 
 @query("gdp_shock_exposure", """
-WITH t AS (SELECT year, hs2, wts.country_code AS origin, partner_code, w, -0.25 * coalesce(shock_pct, 0) AS s FROM wts
-  LEFT JOIN shocks ON partner_code = shocks.country_code)
-SELECT year, hs2, origin, partner_code, round(w, 8) + 0.0 AS weight, round(w * s, 8) + 0.0 AS exposure_pp FROM t
-UNION ALL SELECT year, hs2, origin, 'TOTAL', round(sum(w), 8) + 0.0, round(sum(w * s), 8) + 0.0 FROM t GROUP BY ALL""")
+WITH t AS (SELECT year, hs2, wts.country_code AS origin, partner_code, w, -0.6 * coalesce(shock_pct, 0) AS s FROM wts
+  LEFT JOIN shocks ON partner_code = shocks.country_code), m AS (SELECT *, CASE WHEN abs(s) <= 10 THEN w * s END AS e, CASE WHEN abs(s) <= 10 THEN 0 ELSE 1 END AS bad FROM t)
+SELECT year, hs2, origin, partner_code, round(w, 8) + 0.0 AS weight, round(e, 8) + 0.0 AS exposure_pp, CAST(bad AS BIGINT) AS refused FROM m
+UNION ALL SELECT year, hs2, origin, 'TOTAL', round(sum(w), 8) + 0.0, CASE WHEN sum(bad) = 0 THEN round(sum(e), 8) + 0.0 END, CAST(sum(bad) AS BIGINT) FROM m GROUP BY ALL""")
 def gdp_shock_exposure(inp):
-    shocks = inp.shocks.select("country_code", (-0.25 * F.col("shock_pct")).alias("shock_pp"))
+    # the largest of these shocks is 12 points and must be refused
+    shocks = inp.shocks.select("country_code", (-0.6 * F.col("shock_pct")).alias("shock_pp"))
     frame = op.gdp_shock_exposure(edges(inp), shocks).withColumnRenamed("country_code", "origin")
     return frame.select(*NODE, "partner_code", rounded("weight", 8).alias("weight"),
-                        rounded("exposure_pp", 8).alias("exposure_pp"))
+                        rounded("exposure_pp", 8).alias("exposure_pp"), "refused")
 
 
 @query("shocked_weight", """

@@ -11,6 +11,8 @@ from panelwright.plans.registry import query
 from panelwright.session import materialized
 
 METHODS = ["p_model", "p_reference"]
+#: Bootstrap draws: resampled clusters and groups, and moving blocks (three months here: the fixture series are short).
+REPLICATES, BLOCK_REPLICATES = 2000, 4000
 HASH = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
 
 
@@ -128,20 +130,20 @@ def empirical_band(inp):
 
 @query("block_bootstrap_ci", f"""
 WITH {BT}, d AS (SELECT key, abs(persistence - value) - abs(seasonal - value) AS delta, row_number() OVER (PARTITION BY key ORDER BY mid) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM bt),
-s AS (SELECT key, any_value(n) AS n, avg(delta) AS mean FROM d GROUP BY key), rp AS (SELECT *, unnest(generate_series(1, 200)) AS replicate FROM s),
+s AS (SELECT key, any_value(n) AS n, avg(delta) AS mean FROM d GROUP BY key), rp AS (SELECT *, unnest(generate_series(1, {BLOCK_REPLICATES})) AS replicate FROM s),
 sl AS (SELECT *, unnest(generate_series(0, CAST(ceil(n / 3.0) AS BIGINT) - 1)) AS slot FROM rp), st AS (SELECT *, {HASH.format("'block|' || key || '|' || replicate || '|' || slot")} % n AS start FROM sl),
 o AS (SELECT *, unnest([0, 1, 2]) AS o FROM st), m AS (SELECT o.key, replicate, avg(d.delta) AS m FROM o JOIN d ON d.key = o.key AND d.i = (start + o) % o.n WHERE slot * 3 + o < o.n GROUP BY ALL)
 SELECT m.key, round(quantile_cont(m, 0.025), 6) + 0.0 AS lower, round(quantile_cont(m, 0.975), 6) + 0.0 AS upper, count(*) AS replicates, s.n, round(mean, 6) + 0.0 AS mean FROM m JOIN s USING (key) GROUP BY ALL""")
 def block_bootstrap_ci(inp):
     delta = F.abs(F.col("persistence") - F.col("value")) - F.abs(F.col("seasonal") - F.col("value"))
     rows = backtest(inp).select("key", "mid", delta.alias("delta"))
-    return r(op.block_bootstrap(rows, "key", "mid", 3, 200), ["lower", "upper", "mean"])
+    return r(op.block_bootstrap(rows, "key", "mid", 3, BLOCK_REPLICATES), ["lower", "upper", "mean"])
 
 
 BOOT = """ix AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY {c}) - 1 AS i, count(*) OVER (PARTITION BY {k}) AS n FROM cl),
-sz AS (SELECT {k}, any_value(n) AS n, sum(total) / sum(cnt) AS mean FROM ix GROUP BY {k}), rp AS (SELECT *, unnest(generate_series(1, 200)) AS replicate FROM sz),
+sz AS (SELECT {k}, any_value(n) AS n, sum(total) / sum(cnt) AS mean FROM ix GROUP BY {k}), rp AS (SELECT *, unnest(generate_series(1, {REPLICATES})) AS replicate FROM sz),
 sl AS (SELECT *, unnest(generate_series(0, n - 1)) AS slot FROM rp), pk AS (SELECT *, CAST('0x' || substr(md5('{l}|' || {t} || '|' || replicate || '|' || slot), 1, 8) AS BIGINT) % n AS i FROM sl),
-vv AS (SELECT {pk}, replicate, sum(total) / sum(cnt) AS v FROM pk JOIN ix USING ({k}, i) GROUP BY ALL)"""
+vv AS (SELECT {pk}, replicate, sum(total) / sum(cnt) AS v FROM pk JOIN ix USING ({k}, i) GROUP BY ALL)""".replace("{REPLICATES}", str(REPLICATES))
 CLUSTERS = """cl AS (SELECT CAST(year AS VARCHAR) AS slice, country_code, sum((sector_rate - outcome) * (sector_rate - outcome) - (global_rate - outcome) * (global_rate - outcome)) AS total, count(*) AS cnt
   FROM sector_scored WHERE outcome IS NOT NULL AND year >= 1999 GROUP BY ALL
   UNION ALL SELECT 'all', country_code, sum((sector_rate - outcome) * (sector_rate - outcome) - (global_rate - outcome) * (global_rate - outcome)), count(*) FROM sector_scored WHERE outcome IS NOT NULL AND year >= 1999 GROUP BY ALL)"""
@@ -162,7 +164,7 @@ WITH {CLUSTERS}, {BOOT.format(k="slice", c="country_code", l="cluster", t="slice
 SELECT slice, round(quantile_cont(v, 0.025), 6) + 0.0 AS lower, round(quantile_cont(v, 0.975), 6) + 0.0 AS upper, count(*) AS replicates, sz.n AS clusters, round(mean, 6) + 0.0 AS mean
 FROM vv JOIN sz USING (slice) GROUP BY ALL""")
 def cluster_bootstrap_ci(inp):
-    return r(op.cluster_bootstrap(cluster_table(inp), ["slice"], "country_code", 200), ["lower", "upper", "mean"])
+    return r(op.cluster_bootstrap(cluster_table(inp), ["slice"], "country_code", REPLICATES), ["lower", "upper", "mean"])
 
 
 @query("event_rate_context", f"""
@@ -184,7 +186,7 @@ def event_rate_context(inp):
     keys = ["hs2", "year"]
     labels = clusters.groupBy(*keys).agg(
         F.max("last").alias("last_label_year"), F.sum("total").alias("events"), F.sum("count").alias("n"))
-    band = op.cluster_bootstrap(clusters, keys, "country_code", 200, "event")
+    band = op.cluster_bootstrap(clusters, keys, "country_code", REPLICATES, "event")
     out = labels.join(band, keys)
     enough = F.col("clusters") >= 2
     return out.select(
@@ -204,14 +206,14 @@ def wilson_interval(inp):
     return groups.withColumns({"lower": rounded(low, 6), "upper": rounded(high, 6)})
 
 
-@query("group_rate_bootstrap", """
+@query("group_rate_bootstrap", f"""
 WITH g AS (SELECT lang, source, avg(outcome) AS rate FROM scored GROUP BY ALL), ix AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM g),
-sz AS (SELECT lang, any_value(n) AS n, avg(rate) AS mean FROM ix GROUP BY lang), rp AS (SELECT *, unnest(generate_series(1, 200)) AS replicate FROM sz), sl AS (SELECT *, unnest(generate_series(0, n - 1)) AS slot FROM rp),
+sz AS (SELECT lang, any_value(n) AS n, avg(rate) AS mean FROM ix GROUP BY lang), rp AS (SELECT *, unnest(generate_series(1, {REPLICATES})) AS replicate FROM sz), sl AS (SELECT *, unnest(generate_series(0, n - 1)) AS slot FROM rp),
 pk AS (SELECT *, CAST('0x' || substr(md5('group|' || lang || '|' || replicate || '|' || slot), 1, 8) AS BIGINT) % n AS i FROM sl), vv AS (SELECT lang, replicate, avg(rate) AS v FROM pk JOIN ix USING (lang, i) GROUP BY ALL)
 SELECT lang, round(quantile_cont(v, 0.025), 6) + 0.0 AS lower, round(quantile_cont(v, 0.975), 6) + 0.0 AS upper, count(*) AS replicates, sz.n AS groups, round(mean, 6) + 0.0 AS mean FROM vv JOIN sz USING (lang) GROUP BY ALL""")
 def group_rate_bootstrap(inp):
     groups = inp.scored.groupBy("lang", "source").agg(F.avg("outcome").alias("rate"))
-    return r(op.group_rate_bootstrap(groups, ["lang"], "source", 200), ["lower", "upper", "mean"])
+    return r(op.group_rate_bootstrap(groups, ["lang"], "source", REPLICATES), ["lower", "upper", "mean"])
 
 
 @query("research_gate", f"""
@@ -220,7 +222,7 @@ u AS (SELECT slice, quantile_cont(v, 0.975) AS upper, any_value(mean) AS mean FR
 SELECT count(*) FILTER (WHERE slice <> 'all') AS periods, count(*) FILTER (WHERE slice <> 'all' AND mean < 0) AS periods_better, round(max(upper) FILTER (WHERE slice = 'all'), 6) + 0.0 AS upper,
   bool_and(CASE WHEN slice = 'all' THEN upper < 0 ELSE mean < 0 END) AS passed FROM u""")
 def research_gate(inp):
-    table = op.cluster_bootstrap(cluster_table(inp), ["slice"], "country_code", 200)
+    table = op.cluster_bootstrap(cluster_table(inp), ["slice"], "country_code", REPLICATES)
     whole = F.col("slice") == "all"
     return table.agg(
         F.count_if(~whole).alias("periods"), F.count_if(~whole & (F.col("mean") < 0)).alias("periods_better"),

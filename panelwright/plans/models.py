@@ -27,8 +27,8 @@ def walkforward_logistic(inp):
 @query("walkforward_gbt_classifier")
 def walkforward_gbt_classifier(inp):
     rows = model_rows(inp)
-    full = op.walkforward_classifier(rows, TARGETS[1:], "joint_trees", ROUNDS)
-    trade = op.walkforward_classifier(rows, TARGETS[1:], "trade_only_trees", ROUNDS).drop("outcome")
+    full = op.walkforward_classifier(rows, TARGETS, "joint_trees", ROUNDS)
+    trade = op.walkforward_classifier(rows, TARGETS, "trade_only_trees", ROUNDS).drop("outcome")
     scored = full.join(trade, feat.KEYS)
     return metrics.probability_metrics(scored, ["year"], ["joint_trees", "trade_only_trees"])
 

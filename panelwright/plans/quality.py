@@ -132,20 +132,25 @@ def diff_summary(inp):
     return rev.diff_summary(scoped(inp), ["key"])
 
 
+def cell(sql):
+    """A value as the fingerprint writes it: its length and itself, ``N`` for a missing one."""
+    return f"coalesce(length(CAST({sql} AS VARCHAR)) || ':' || CAST({sql} AS VARCHAR), 'N')"
+
+
 FP = """fp AS (SELECT {keys}, count(*) AS rows, sha256(CAST(count(*) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS VARCHAR) || ':' ||
   CAST(sum(CAST('0x' || substr(h, 13, 12) AS BIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(h, 25, 12) AS BIGINT)) AS VARCHAR) || ':' ||
   CAST(sum(CAST('0x' || substr(h, 37, 12) AS BIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(h, 49, 12) AS BIGINT)) AS VARCHAR)) AS fingerprint FROM hr GROUP BY {keys})"""
 
 
 @query("table_fingerprint", f"""
-WITH hr AS (SELECT lang, source, sha256(CAST(doc_id AS VARCHAR) || '|' || coalesce(text, '<null>') || '|' || CAST(n_chars AS VARCHAR)) AS h FROM documents),
+WITH hr AS (SELECT lang, source, sha256({cell('doc_id')} || {cell('text')} || {cell('n_chars')}) AS h FROM documents),
 {FP.format(keys="lang, source")} SELECT * FROM fp""")
 def table_fingerprint(inp):
     return rev.fingerprint(inp.documents, ["doc_id", "text", "n_chars"], ["lang", "source"])
 
 
 @query("source_identity_diff", f"""
-WITH hr AS (SELECT key, version, sha256(CAST(mid AS VARCHAR) || '|' || coalesce(CAST(CAST(value AS DECIMAL(18, 3)) AS VARCHAR), '<null>')) AS h FROM obs_versions WHERE version = 1 OR key <> 'p2'),
+WITH hr AS (SELECT key, version, sha256({cell('mid')} || {cell('CAST(value AS DECIMAL(18, 3))')}) AS h FROM obs_versions WHERE version = 1 OR key <> 'p2'),
 {FP.format(keys="key, version")}
 SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NOT NULL THEN '1' END AS old_vintage, CASE WHEN b.key IS NOT NULL THEN '2' END AS new_vintage, a.fingerprint AS old_hash, b.fingerprint AS new_hash,
   a.fingerprint IS DISTINCT FROM b.fingerprint OR b.key IS NULL OR a.key IS NULL AS changed FROM (SELECT * FROM fp WHERE version = 1) a FULL JOIN (SELECT * FROM fp WHERE version = 2) b ON a.key = b.key""")
@@ -239,7 +244,7 @@ def tolerance_compare(inp):
 
 
 @query("normalized_fingerprint", f"""
-WITH hr AS (SELECT indicator_code, sha256(country_code || '|' || CAST(year AS VARCHAR) || '|' || coalesce(CAST(CAST(round(value, 3) + 0.0 AS DECIMAL(24, 3)) AS VARCHAR), '<null>')) AS h FROM macro_long),
+WITH hr AS (SELECT indicator_code, sha256({cell('country_code')} || {cell('year')} || {cell('CAST(round(value, 3) + 0.0 AS DECIMAL(24, 3))')}) AS h FROM macro_long),
 {FP.format(keys="indicator_code")} SELECT * FROM fp""")
 def normalized_fingerprint(inp):
     grid = rounded("value", 3).cast("decimal(24,3)")

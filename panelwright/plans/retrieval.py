@@ -29,12 +29,12 @@ GRAM = """SELECT {id}, gram, count(*) AS tf FROM (SELECT {id}, unnest(list_conca
 
 
 @query("char_tfidf", f"""
-WITH t AS (SELECT conv_id || '-' || turn AS text_id, {norm("text")} AS t FROM conversations WHERE role = 'user'), g AS ({GRAM.format(id="text_id", src="t")}),
+WITH t AS (SELECT conv_id || '-' || turn AS text_id, {norm("text")} AS t FROM conversations), g AS ({GRAM.format(id="text_id", src="t")}),
 d AS (SELECT gram, ln((1 + (SELECT count(*) FROM t)) / (1 + count(*))) + 1 AS idf FROM g GROUP BY gram), w AS (SELECT text_id, gram, tf, (1 + ln(tf)) * idf AS w FROM g JOIN d USING (gram)),
 n AS (SELECT text_id, sqrt(sum(w * w)) AS n FROM w GROUP BY text_id)
 SELECT text_id, gram, tf, round(w / n, 6) + 0.0 AS weight FROM w JOIN n USING (text_id)""")
 def char_tfidf(inp):
-    texts = inp.conversations.filter("role = 'user'").select(
+    texts = inp.conversations.select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("text_id"), "text")
     return op.tfidf(texts, "text_id", op.normalize(F.col("text"))).withColumn("weight", rounded("weight", 6))
 

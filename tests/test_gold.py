@@ -252,3 +252,46 @@ def test_labels_fall_at_the_boundary_and_gaps_stay_gaps(spark):
     got = {r.year: r for r in features.sector_candidates(edges, macro).filter("country_code = 'AAA'").collect()}
     assert got[2002].outcome == 1 and got[2002].eligible and got[2002].previous_growth == pytest.approx(100.0)
     assert got[2003].outcome is None and got[2005].previous_export_usd is None and not got[2005].eligible
+
+
+def test_order_statistics_survive_outliers_missing_scores_and_missing_groups(spark):
+    rng = random.Random(5)
+    scores = [rng.random() * 1e-12 for _ in range(300)] + [0.0, -0.0, 1e300, -5e-324, 5e-324, 1e-310]
+    rows = [(g, p, rng.randint(0, 1)) for g in ("a", None) for p in scores]
+    rows += [("a", None, 1), (None, float("nan"), 0), ("a", 0.5, None), ("only", None, 1)]
+    frame = spark.createDataFrame(rows, "g string, p double, outcome int")
+    got = {r.g: r for r in metrics.rank_metrics(frame, ["g"], ["p"]).collect()}
+    assert set(got) == {"a", None, "only"} and got["only"].n == 0 and got["only"].roc_auc is None
+    assert [got[g].invalid for g in ("a", None, "only")] == [2, 1, 1]
+    for g in ("a", None):
+        own = [(p, y) for k, p, y in rows if k == g and p is not None and p == p and y is not None]
+        wins = [(p > q) + 0.5 * (p == q) for p, y in own if y for q, z in own if not z]
+        assert math.isclose(got[g].roc_auc, sum(wins) / len(wins), rel_tol=1e-9) and got[g].n == len(own)
+    values = [-1e16, 0.0, 0.25, 0.5, 1e16]
+    table = spark.createDataFrame([(g, v) for g in ("x", None) for v in [*values, None]], "g string, v double")
+    found = {(r.g, r.q): r.quantile for r in metrics.order_statistic_quantiles(table, ["g"], "v", [0.25, 0.5, 0.75]).collect()}
+    assert found == {(g, q): v for g in ("x", None) for q, v in ((0.25, 0.0), (0.5, 0.25), (0.75, 0.5))}
+
+
+def test_fingerprint_tells_separators_and_missing_values_apart(spark):
+    rows = [(1, "a|b", "c"), (2, "a", "b|c"), (3, None, "c"), (4, "<null>", "c"), (5, "N", "c"), (6, "", "c")]
+    found = revisions.fingerprint(spark.createDataFrame(rows, "k int, a string, b string"), ["a", "b"], ["k"])
+    assert found.select("fingerprint").distinct().count() == len(rows)
+
+
+def test_ambiguous_country_code_stops_the_job(spark):
+    region = spark.createDataFrame([(0, "R")], "r_regionkey int, r_name string")
+    nation = spark.createDataFrame([(1, "A", 0), (1, "B", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    assert flows.country_dimension(nation.filter("n_name = 'A'"), region).count() == 1
+    with pytest.raises(Exception, match="not unique: 1"):
+        flows.country_dimension(nation, region).collect()
+
+
+def test_refused_shock_keeps_its_edge_and_leaves_the_total_open(spark):
+    rows = [(2000, "01", "AAA", p, v) for p, v in (("BBB", 60.0), ("CCC", 40.0))]
+    edges = spark.createDataFrame(rows, "year int, hs2 string, country_code string, partner_code string, trade_usd double")
+    for shock, part, total in ((-10.0, -6.0, -6.0), (11.0, None, None), (float("nan"), None, None)):
+        shocks = spark.createDataFrame([("BBB", shock)], "country_code string, shock_pp double")
+        got = {r.partner_code: r for r in graph.gdp_shock_exposure(edges, shocks).collect()}
+        assert got["BBB"].exposure_pp == part and got["TOTAL"].exposure_pp == total and got["CCC"].exposure_pp == 0
+        assert got["TOTAL"].weight == 1.0 and got["TOTAL"].refused == (total is None)
