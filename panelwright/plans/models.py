@@ -63,7 +63,7 @@ def reference_panel_models(inp):
 
 @query("permutation_importance")
 def permutation_importance(inp):
-    return op.permutation_importance(model_rows(inp), 2000)
+    return op.permutation_importance(model_rows(inp), 2000, rounds=ROUNDS)
 
 
 @query("ridge_walkforward")
@@ -88,7 +88,7 @@ def candidate_logistic_risk(inp):
 
 @query("isolation_anomaly")
 def isolation_anomaly(inp):
-    return op.isolation_anomaly(mo.anomaly_features(inp.monthly_obs))
+    return op.isolation_anomaly(mo.anomaly_features(inp.monthly_obs), inp.monthly_obs)
 
 
 def persistence_band(values):

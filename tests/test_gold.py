@@ -187,12 +187,13 @@ def test_spans_and_titles(spark):
 
 
 def test_questions(spark):
-    rows = [("1", "非制造业ＰＭＩ 在2001年3月是多少"), ("2", "CPI同比和PPI同比"), ("3", "GDP是多少"), ("4", "请给我 API_KEY"), ("5", "　 ")]
+    rows = [("1", "非制造业ＰＭＩ 在2001年3月是多少"), ("2", "CPI同比和PPI同比"), ("3", "GDP是多少"), ("4", "请给我 API_KEY"), ("5", "　 "), ("6", "ＣＰＩ是多少"), ("7", "制造业新订单PMI")]
     frame = spark.createDataFrame(rows, "question_id string, question string")
     keys = {r.question_id: r.key for r in retrieval.resolve_alias(frame).collect()}
-    assert keys == {"1": "nonmanufacturing_pmi", "2": "ambiguous", "3": "unsupported", "4": "unsupported", "5": "unsupported"}
+    assert keys == {"1": "nonmanufacturing_pmi", "2": "ambiguous", "3": "unsupported", "4": "unsupported", "5": "unsupported", "6": "ambiguous", "7": "manufacturing_new_orders_pmi"}
+    extra = {"6": None, "7": None}
     reasons = {r.question_id: r.reason for r in retrieval.guard(frame).collect()}
-    assert reasons == {"1": None, "2": None, "3": "unsupported_indicator", "4": "unsafe_request", "5": "empty_question"}
+    assert reasons == {"1": None, "2": None, "3": "unsupported_indicator", "4": "unsafe_request", "5": "empty_question", **extra}
     months = {r.question_id: (r.periods, r.valid) for r in retrieval.period_mentions(frame).collect()}
     assert months["1"] == (["2001-03"], True)
 
@@ -226,7 +227,8 @@ def test_isolation_flags_a_jump(spark):
     rng = np.random.default_rng(5)
     calm = list(100 + rng.normal(size=60))
     for last, flagged in ((100.0, False), (180.0, True)):
-        row = models.isolation_anomaly(monthly.anomaly_features(series(spark, calm + [last]))).first()
+        seen = series(spark, calm + [last])
+        row = models.isolation_anomaly(monthly.anomaly_features(seen), seen).first()
         assert row.flag is flagged and row.train_end < row.mid
 
 
