@@ -61,10 +61,10 @@ def with_text(pages: DataFrame) -> DataFrame:
     return pages.withColumn("text", F.explode(F.array(plain_text(F.col("html")))))
 
 
-def quarantine(pages: DataFrame, markers: tuple[str, ...], largest: int) -> DataFrame:
-    """Why a page is not usable, checked in fixed order; NULL for usable pages."""
+def quarantine(pages: DataFrame, markers: tuple[str, ...], largest: int = 2_000_000) -> DataFrame:
+    """Why a page is not usable, checked in fixed order over the whole page; NULL for usable pages. ``largest`` is in bytes."""
     html = F.col("html")
-    blocked = F.contains(F.substring(html, 1, 3000), F.lit("document.cookie"))
+    blocked = F.contains(html, F.lit("document.cookie"))
     for marker in markers:
         blocked = blocked | F.contains(html, F.lit(marker))
     reason = (

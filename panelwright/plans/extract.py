@@ -23,10 +23,10 @@ def page_text(inp):
 
 
 @query("quarantine_pages", """
-SELECT page_id, CASE WHEN octet_length(encode(html)) > 12000 THEN 'oversized' WHEN contains(substr(html, 1, 3000), 'document.cookie') OR contains(html, 'Please enable JavaScript') OR contains(html, '__jsl_clearance')
+SELECT page_id, CASE WHEN octet_length(encode(html)) > 2000000 THEN 'oversized' WHEN contains(html, 'document.cookie') OR contains(html, 'Please enable JavaScript') OR contains(html, '__jsl_clearance')
   OR contains(html, 'acw_sc__v2') OR contains(html, 'cheap-pills') THEN 'access verification' WHEN NOT contains(html, '<a ') AND NOT contains(html, '<article') THEN 'not an article' ELSE 'usable' END AS reason FROM pages""")
 def quarantine_pages(inp):
-    checked = op.quarantine(inp.pages, (*op.BLOCK_MARKERS, "cheap-pills"), 12000)
+    checked = op.quarantine(inp.pages, (*op.BLOCK_MARKERS, "cheap-pills"))
     return checked.select("page_id", F.coalesce("reason", F.lit("usable")).alias("reason"))
 
 

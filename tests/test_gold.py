@@ -297,3 +297,9 @@ def test_refused_shock_keeps_its_edge_and_leaves_the_total_open(spark):
         got = {r.partner_code: r for r in graph.gdp_shock_exposure(edges, shocks).collect()}
         assert got["BBB"].exposure_pp == part and got["TOTAL"].exposure_pp == total and got["CCC"].exposure_pp == 0
         assert got["TOTAL"].weight == 1.0 and got["TOTAL"].refused == (total is None)
+
+
+def test_quarantine_reads_the_whole_page(spark):
+    rows = [(1, "<a href=x>" + "y" * 5000 + "document.cookie"), (2, "<a href=x>fine"), (3, "<article>" + "z" * 2_000_000), (4, "plain")]
+    got = {r.page_id: r.reason for r in extract.quarantine(spark.createDataFrame(rows, "page_id int, html string"), extract.BLOCK_MARKERS).collect()}
+    assert got == {1: "access verification", 2: None, 3: "oversized", 4: "not an article"}
