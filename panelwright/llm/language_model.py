@@ -19,8 +19,11 @@ HIDDEN = 16
 COMMON = 1 << 16
 #: Texts read side by side, and words between two truncations of the gradient.
 LANES, WINDOW = 256, 32
-#: Reports the network is fitted on, shards that fit it in parallel, rounds of averaging, passes of a round.
-SAMPLE, SHARDS, AVERAGES, PASSES = 1000, 4, 4, 1
+#: Training reports of a shard (their number grows with the corpus), and the rounds in which the shards' networks are averaged:
+#: every training report is read once, in one of the rounds.
+SHARD, AVERAGES = 16_000, 4
+#: Texts that a shard reads side by side: an eighth of those it has, within these bounds.
+NARROW, WIDE = 16, 128
 END = np.uint64(0x5851F42D4C957F2D)
 OTHER_ID, END_ID = 0, 1
 _COUNT = np.dtype([("word", "<u8"), ("count", "<i8")])
@@ -139,17 +142,17 @@ def _gates(x: np.ndarray) -> np.ndarray:
 
 def run_window(net: dict, ids: np.ndarray, state: np.ndarray, fresh: np.ndarray):
     """States [time, lane, HIDDEN] of a training window, the state after it, and what the way back needs."""
-    out = np.empty((*ids.shape, HIDDEN), net["recur"].dtype)
-    kept, h = [], state
+    sized = lambda width: np.empty((*ids.shape, width), net["recur"].dtype)
+    out, before, gates, cand, inner = sized(HIDDEN), sized(HIDDEN), sized(2 * HIDDEN), sized(HIDDEN), sized(HIDDEN)
+    x, on, h = net["inputs"][ids], ~fresh[:, :, None], state
     for t in range(len(ids)):
-        h = np.where(fresh[t][:, None], np.zeros_like(h), h)
-        x, u = net["inputs"][ids[t]], h @ net["recur"]
-        gates = _gates(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-        r, z = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-        kept.append((h, r, z, n, u[:, 2 * HIDDEN :]))
-        h = out[t] = n + z * (h - n)
-    return out, h, kept
+        np.multiply(h, on[t], out=before[t])
+        u = before[t] @ net["recur"]
+        gates[t] = _gates(x[t, :, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
+        r, z, inner[t] = gates[t, :, :HIDDEN], gates[t, :, HIDDEN:], u[:, 2 * HIDDEN :]
+        n = cand[t] = np.tanh(x[t, :, 2 * HIDDEN :] + r * inner[t])
+        h = out[t] = n + z * (before[t] - n)
+    return out, h, (before, gates[:, :, :HIDDEN], gates[:, :, HIDDEN:], cand, inner)
 
 
 class Reader:
@@ -211,50 +214,58 @@ class Reader:
         return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _surprise(logits: np.ndarray, goal: np.ndarray) -> tuple[float, np.ndarray]:
+    """Loss of a softmax over all rows, and its slope by the logits, in their array."""
+    rows = np.arange(len(goal))
+    picked = logits[rows, goal].sum(dtype=np.float64)
+    np.exp(np.minimum(logits, 80, out=logits), out=logits)
+    total = logits @ np.ones((logits.shape[1], 1), logits.dtype)
+    logits /= total
+    logits[rows, goal] -= 1
+    return float(np.log(total).sum(dtype=np.float64) - picked), logits
 
 
 def gradients(net: dict, ids: np.ndarray, targets: np.ndarray, live: np.ndarray, state: np.ndarray, fresh: np.ndarray):
     """(loss per word, gradients, state after) of one window, back through this window only."""
     hidden, after, kept = run_window(net, ids, state, fresh)
-    flat, goal, on = hidden.reshape(-1, HIDDEN), targets.ravel(), live.ravel()
-    n = max(1, on.sum())
+    slope = np.zeros_like(hidden.reshape(-1, HIDDEN))
+    use = np.flatnonzero(live.ravel())
+    n = max(1, len(use))
     grads = {k: np.zeros_like(v) for k, v in net.items()}
-    slope = np.zeros_like(flat)
-    use = np.flatnonzero(on)
-    group, place = class_of(goal[use])
-    logs = _log_softmax(flat[use] @ net["classes"] + net["class_bias"])
-    loss = -logs[np.arange(len(use)), group].sum()
-    d = np.exp(logs)
-    d[np.arange(len(use)), group] -= 1
-    d /= n
-    grads["classes"], grads["class_bias"] = flat[use].T @ d, d.sum(0)
-    slope[use] = d @ net["classes"].T
-    order = np.argsort(group, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-        if len(part):
-            c, at = group[part[0]], use[part]
-            logs = _log_softmax(flat[at] @ net["within"][c] + net["within_bias"][c])
-            loss -= logs[np.arange(len(part)), place[part]].sum()
-            d = np.exp(logs)
-            d[np.arange(len(part)), place[part]] -= 1
-            d /= n
-            grads["within"][c], grads["within_bias"][c] = flat[at].T @ d, d.sum(0)
-            slope[at] += d @ net["within"][c].T
+    # rows in the order of their target's class, so that every class is one slice
+    group, place = class_of(targets.ravel()[use])
+    order = np.argsort(group.astype(np.int8), kind="stable")
+    use, group, place = use[order], group[order], place[order]
+    rows = hidden.reshape(-1, HIDDEN)[use]
+    loss, d = _surprise(rows @ net["classes"] + net["class_bias"], group)
+    grads["classes"], grads["class_bias"] = rows.T @ d / n, d.sum(0) / n
+    told = d @ net["classes"].T
+    cuts = np.searchsorted(group, np.arange(KNOWN // CLASS + 1))
+    for c in np.flatnonzero(np.diff(cuts)):
+        part = slice(cuts[c], cuts[c + 1])
+        more, d = _surprise(rows[part] @ net["within"][c] + net["within_bias"][c], place[part])
+        loss += more
+        grads["within"][c], grads["within_bias"][c] = rows[part].T @ d / n, d.sum(0) / n
+        told[part] += d @ net["within"][c].T
+    slope[use] = told / n
     slope = slope.reshape(hidden.shape)
-    back = np.zeros_like(state)
+    before, r, z, cand, inner = kept
+    to_cand, to_z, to_r = (1 - z) * (1 - cand * cand), (before - cand) * z * (1 - z), inner * r * (1 - r)
+    shape = (*ids.shape, 3 * HIDDEN)
+    to_inputs, to_recur, goes_on = np.empty(shape, slope.dtype), np.empty(shape, slope.dtype), ~fresh[:, :, None]
+    back, turned = np.zeros_like(state), np.ascontiguousarray(net["recur"].T)
     for t in range(len(ids) - 1, -1, -1):
-        h, r, z, cand, inner = kept[t]
         g = slope[t] + back
-        dn = g * (1 - z) * (1 - cand * cand)
-        dz = g * (h - cand) * z * (1 - z)
-        dr = dn * inner * r * (1 - r)
-        to_recur = np.concatenate([dr, dz, dn * r], 1)
-        grads["recur"] += h.T @ to_recur
-        np.add.at(grads["inputs"], ids[t], np.concatenate([dr, dz, dn], 1))
-        back = np.where(fresh[t][:, None], np.float32(0), g * z + to_recur @ net["recur"].T)
+        dn = to_inputs[t, :, 2 * HIDDEN :] = g * to_cand[t]
+        to_inputs[t, :, :HIDDEN] = to_recur[t, :, :HIDDEN] = dn * to_r[t]
+        to_inputs[t, :, HIDDEN : 2 * HIDDEN] = to_recur[t, :, HIDDEN : 2 * HIDDEN] = g * to_z[t]
+        to_recur[t, :, 2 * HIDDEN :] = dn * r[t]
+        back = (g * z[t] + to_recur[t] @ turned) * goes_on[t]
+    grads["recur"] = before.reshape(-1, HIDDEN).T @ to_recur.reshape(-1, 3 * HIDDEN)
+    order = np.argsort(ids.ravel().astype(np.int16), kind="stable")
+    read = ids.ravel()[order]
+    first = np.flatnonzero(np.concatenate(([True], read[1:] != read[:-1])))
+    grads["inputs"][read[first]] = np.add.reduceat(to_inputs.reshape(-1, 3 * HIDDEN)[order], first)
     return loss / n, grads, after
 
 
@@ -263,7 +274,7 @@ def lanes(texts: list[np.ndarray], width: int):
     import heapq
 
     order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-    width = max(1, min(width, len(texts)))
+    width = max(1, min(width, len(texts), 2 * sum(map(len, texts)) // len(texts[order[0]]) + 1))  # a very long text gets few lanes beside it
     heap = [(0, lane) for lane in range(width)]
     place = []
     for k in order:
@@ -298,28 +309,27 @@ def text_scores(net: dict, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fit(net: dict, texts: list[np.ndarray], passes: int, seed: int) -> dict:
-    """The network after truncated backpropagation over the texts, by Adam."""
+def fit(net: dict, texts: list[np.ndarray], seed: int) -> dict:
+    """The network after truncated backpropagation over the texts, once, by Adam."""
     net = {k: v.copy() for k, v in net.items()}
+    if not texts:
+        return net
     first = {k: np.zeros_like(v) for k, v in net.items()}
     second = {k: np.zeros_like(v) for k, v in net.items()}
-    step = 0
-    rng = np.random.default_rng(seed)
-    for _ in range(passes):
-        mixed_texts = [texts[k] for k in rng.permutation(len(texts))]
-        inputs, targets, owner, fresh = lanes(mixed_texts, 48)
-        state = np.zeros((inputs.shape[1], HIDDEN), np.float32)
-        for low in range(0, len(inputs), WINDOW):
-            part = slice(low, low + WINDOW)
-            _, grads, state = gradients(net, inputs[part], targets[part], owner[part] >= 0, state, fresh[part])
-            step += 1
-            norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            scale = min(1.0, 1.0 / max(norm, 1e-9))
-            for k, g in grads.items():
-                g = g * scale
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g * g - second[k])
-                net[k] -= (0.02 * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+    order = np.random.default_rng(seed).permutation(len(texts))
+    inputs, targets, owner, fresh = lanes([texts[k] for k in order], min(WIDE, max(NARROW, len(texts) // 8)))
+    state = np.zeros((inputs.shape[1], HIDDEN), np.float32)
+    for step, low in enumerate(range(0, len(inputs), WINDOW), 1):
+        part = slice(low, low + WINDOW)
+        going = (owner[part] >= 0).any(0)  # a lane that has ended stays so
+        _, grads, state[going] = gradients(net, inputs[part][:, going], targets[part][:, going], owner[part][:, going] >= 0, state[going], fresh[part][:, going])
+        norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        scale = min(1.0, 1.0 / max(norm, 1e-9))
+        for k, g in grads.items():
+            g = g * scale
+            first[k] += 0.1 * (g - first[k])
+            second[k] += 0.01 * (g * g - second[k])
+            net[k] -= (0.02 * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     return net
 
 
@@ -353,36 +363,58 @@ def _encoded(spread):
         import pyarrow as pa
 
         lexicon: Lexicon = pickle.loads(spread.value)
-        for _, texts in steps(batches):
+        for keys, texts in steps(batches):
             hashes, begins = words(texts)
             ids = lexicon.ids(lexicon.ranks(hashes))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([np.append(ids[a:b], END_ID).astype(np.int32).tobytes() for a, b in zip(begins, begins[1:])], pa.binary())], names=["ids"])
+                [pa.array(keys, pa.int64()), pa.array([np.append(ids[a:b], END_ID).astype(np.int16).tobytes() for a, b in zip(begins, begins[1:])], pa.binary())],
+                names=["report_id", "ids"])
 
     return encode
 
 
-def _fit_shard(spread, passes: int):
+def _fit_shard(spread):
     def fit_shard(key, rows):
         import pandas as pd
 
-        texts = sorted((np.frombuffer(b, np.int32) for b in rows["ids"]), key=lambda t: (len(t), t.tobytes()))
-        net = fit(pickle.loads(spread.value), texts, passes, int(key[0]))
-        return pd.DataFrame({"shard": [int(key[0])], "n": [len(texts)], "net": [pickle.dumps(net)]})
+        texts = sorted((np.frombuffer(b, np.int16).astype(np.int32) for b in rows["ids"]), key=lambda t: (len(t), t.tobytes()))
+        net = fit(pickle.loads(spread.value), texts, int(key[0]))
+        return pd.DataFrame({"shard": [int(key[0])], "n": [len(texts)], "net": [pickle.dumps({k: len(texts) * v.astype(np.float64) for k, v in net.items()})]})
 
     return fit_shard
 
 
-def trained(spark, sample: DataFrame) -> dict:
-    """Fits the network on the sampled id sequences: every shard on its own, then the mean, again and again."""
-    net = new_network()
-    shards = staged(sample.select("ids", F.pmod(F.xxhash64("ids"), F.lit(SHARDS)).cast("int").alias("shard")), "lm-sample")
+def _net_sums(batches: Iterator):
+    """One row (shard, n, net): the sums of the networks of this task, read one after the other."""
+    import pyarrow as pa
+
+    shard, n, total = 0, 0, None
+    for batch in batches:
+        for now, count, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            net = pickle.loads(blob.as_py())
+            shard, n, total = now, n + count, net if total is None else {k: total[k] + v for k, v in net.items()}
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([pickle.dumps(total)], pa.binary())], names=["shard", "n", "net"])
+
+
+def trained(spark, encoded: DataFrame, n: int) -> dict:
+    """The network after every training report has been read once.
+
+    Each report belongs to a shard and a round by a hash; in a round every shard fits the network on its reports of the round,
+    then the networks' mean goes on. Sums run in tasks of two levels, so the driver gets at most 8 networks (0.5 MB each).
+    """
+    net, kind = new_network(), "shard int, n long, net binary"
+    count = max(1, n // SHARD)
+    dealt = F.pmod(F.xxhash64("report_id", F.monotonically_increasing_id()), F.lit(count * AVERAGES))
+    shards = staged(encoded.select("ids", F.floor(dealt / AVERAGES).cast("int").alias("shard"), (dealt % AVERAGES).cast("int").alias("turn")), "lm-shards")
     for turn in range(AVERAGES):
         spread = spark.sparkContext.broadcast(pickle.dumps(net))
-        fitted = shards.repartition(2 * SHARDS, "shard").groupBy("shard").applyInPandas(_fit_shard(spread, PASSES), "shard int, n int, net binary").orderBy("shard").collect()
+        sums = shards.where(F.col("turn") == turn).repartition(count, "shard").groupBy("shard").applyInPandas(_fit_shard(spread), kind)
+        for parts in (math.isqrt(count), 8):
+            sums = sums.repartition(parts, "shard").mapInArrow(_net_sums, kind)
+        fitted = [(r["n"], pickle.loads(r["net"])) for r in sums.collect()]
         if fitted:
-            nets, weight = [pickle.loads(r["net"]) for r in fitted], np.array([r["n"] for r in fitted], float)
-            net = {k: sum(w * m[k] for w, m in zip(weight / weight.sum(), nets)).astype(np.float32) for k in net}
+            net = {k: (sum(m[k] for _, m in fitted) / sum(w for w, _ in fitted)).astype(np.float32) for k in net}
     return net
 
 
@@ -434,7 +466,7 @@ def _use_rows(spread, parts: int):
             columns[1].append(count(common) + int(lexicon.end > 0))
             columns[2].append(count(other))
             columns[3].append(count(every, value) + math.log10(lexicon.end + 1))
-            columns[4].append(count(other, value) if len(value) else np.zeros(len(texts)))
+            columns[4].append(count(other, value).astype(float))  # counts are whole numbers where there are no weights
             texts_held += [np.append(ids[a:b], END_ID).astype(np.int32) for a, b in zip(begins, begins[1:])]
             rare = ~common
             if rare.any():
@@ -515,8 +547,8 @@ def text_likelihood(reports: DataFrame, fold: int = 7, held_out: int = 2, report
     ``score`` is the model's log10 probability of the whole text: a gated recurrent network over the commonest ``KNOWN`` words,
     output factored into classes, reads the text to its end with its state carried across windows; any other word has the network's
     probability of an unknown word times its add-one unigram share among such words. The network is fitted by truncated
-    backpropagation on about ``SAMPLE`` training reports chosen by a hash, in ``SHARDS`` tasks whose means are taken ``AVERAGES`` times; counts,
-    lexicon and scores cover everything. Null text is empty and has one token. Repeated rows count and are returned each time.
+    backpropagation on every training report, once: the corpus is dealt into shards of about ``SHARD`` reports that fit in parallel, and
+    the mean of their networks is taken ``AVERAGES`` times (``trained``). Null text is empty and has one token. Repeated rows count and are returned each time.
     With no training report the counts are 0 and the network says what it said before training. An empty table gives an
     empty result.
 
@@ -536,8 +568,7 @@ def text_likelihood(reports: DataFrame, fold: int = 7, held_out: int = 2, report
     common = table.select("top").mapInArrow(_tops, "word long, n long").orderBy(F.desc("n"), "word").limit(COMMON).collect()  # 1 MB
     lexicon = Lexicon([(r["word"], r["n"]) for r in common])
     spread = spark.sparkContext.broadcast(pickle.dumps(lexicon))
-    lucky = F.pmod(F.xxhash64("report_id", F.lit("lm")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / n))
-    net = trained(spark, training.where(lucky).select(F.lit(0).alias("zero"), "text").mapInArrow(_encoded(spread), "ids binary"))
+    net = trained(spark, training.select("report_id", "text").mapInArrow(_encoded(spread), "report_id long, ids binary"), n)
     both = spark.sparkContext.broadcast(pickle.dumps((lexicon, net)))
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "report_id", "held_out", "text")
     used = staged(numbered.mapInArrow(_use_rows(both, parts), "part int, records binary, row long, report_id long, held_out boolean, n_tokens long, n_known long, "

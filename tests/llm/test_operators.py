@@ -1,14 +1,17 @@
 """Small cases of the corpus operators: brute force, round trips, empty tables, nulls, repeats, clashing columns."""
 
 import hashlib
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from panelwright.llm import article_text, co_training, exact_copies, language_codes, near_vectors, packing, shingle_join, token_cache, token_codec
 from panelwright.llm.common import components, reference_tokenizer, tokenizer_path
-from panelwright.llm.language_model import new_network, text_scores
+from panelwright.llm.language_model import fit, new_network, text_likelihood, text_scores
 from panelwright.llm.queries import BYTE_VOCABULARY, WORD_VOCABULARY
 from panelwright.session import shared_dir
 
@@ -159,3 +162,38 @@ def test_network_likelihood_does_not_depend_on_the_batch():
     texts = [np.array([5, 9, 700, 1], np.int32), np.array([1], np.int32), np.array([3] * 200 + [1], np.int32)]
     together = text_scores(net, texts)
     assert np.allclose(together, [text_scores(net, [t])[0] for t in texts], atol=1e-3) and (together < 0).all()
+
+
+def test_likelihood_against_brute_force(spark, reports):
+    got = rows_of(text_likelihood(reports))
+    rows = [(r.report_id, re.findall("[^\\x20\\x09-\\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) + ["<end>"])
+            for r in reports.collect() if r.report_id is not None]
+    learnt = Counter(w for k, own in rows if zlib.crc32(str(k).encode()) % 7 != 2 for w in own)
+    total, distinct = sum(learnt.values()), len(learnt)
+    assert sum(map(len, got.values())) == len(rows)
+    for k, own in rows:
+        r = got[k][0]
+        assert r.held_out == (zlib.crc32(str(k).encode()) % 7 == 2)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(learnt[w] > 0 for w in own), total)
+        assert math.isclose(r.base_score, sum(math.log10((learnt[w] + 1) / (total + distinct + 1)) for w in own), rel_tol=1e-9)
+        assert math.isfinite(r.score) and r.score < 0
+    assert got[0][0] == got[0][1] and text_likelihood(reports.limit(0)).count() == 0
+
+
+def test_likelihood_learns_word_order(spark):
+    rng = np.random.default_rng(6)
+    follows = {w: rng.choice(60, 2) for w in range(60)}
+    texts = []
+    for _ in range(400):
+        words = [int(rng.integers(60))]
+        while len(words) < 40:
+            words.append(int(rng.choice(follows[words[-1]])))
+        texts.append(" ".join(f"w{w}" for w in words))
+    told = text_likelihood(spark.createDataFrame(list(enumerate(texts)), "report_id long, text string")).where("held_out").collect()
+    assert len(told) > 30 and sum(r.score for r in told) > 0.95 * sum(r.base_score for r in told)
+
+
+def test_a_very_long_text_gets_few_lanes():
+    long, short = np.full(200_000, 5, np.int32), [np.array([7, 1], np.int32)] * 50
+    net = fit(new_network(), [long[:5000], *short], 0)
+    assert np.isclose(text_scores(net, [long, *short])[1], text_scores(net, short)[0], atol=1e-3) and np.isfinite(text_scores(net, [long])).all()
