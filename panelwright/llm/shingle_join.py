@@ -14,9 +14,8 @@ from panelwright.llm.common import CHUNKS, components, mixed, near_ids, staged,
 COUNTERS = 1 << 20
 #: Most shared prefix tokens that may be asked for.
 LEVELS = 4
-#: Expected cost of verifying what one posting read leads to, in postings read: a verification costs 40, and the places of the
-#: shared tokens leave about one pair in 200 to verify.
-VERIFY_COST = 40.0 / 200
+#: Cost of verifying a candidate, in postings read.
+VERIFY_COST = 40.0
 #: Tokens of a document, smallest hashes first, at which it meets the most typical document that holds them.
 HEADS = 6
 #: Postings of one group in the join, on average.
