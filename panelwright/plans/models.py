@@ -11,7 +11,6 @@ from panelwright.plans.registry import query
 from panelwright.session import materialized
 
 TARGETS = [1999, 2000, 2001]
-ROUNDS = 10  # the library default is 100 rounds; the catalogue runs keep the comparison of methods short
 
 
 def model_rows(inp):
@@ -27,8 +26,8 @@ def walkforward_logistic(inp):
 @query("walkforward_gbt_classifier")
 def walkforward_gbt_classifier(inp):
     rows = model_rows(inp)
-    full = op.walkforward_classifier(rows, TARGETS, "joint_trees", ROUNDS)
-    trade = op.walkforward_classifier(rows, TARGETS, "trade_only_trees", ROUNDS).drop("outcome")
+    full = op.walkforward_classifier(rows, TARGETS, "joint_trees")
+    trade = op.walkforward_classifier(rows, TARGETS, "trade_only_trees").drop("outcome")
     scored = full.join(trade, feat.KEYS)
     return metrics.probability_metrics(scored, ["year"], ["joint_trees", "trade_only_trees"])
 
@@ -37,7 +36,7 @@ def walkforward_gbt_classifier(inp):
 def geo_holdout_eval(inp):
     rows = model_rows(inp)
     held = rows.select("country_code").distinct().filter(panel_op.hash_holdout(F.col("country_code")))
-    return op.geographic_holdout(rows, held, 2000, ROUNDS)
+    return op.geographic_holdout(rows, held, 2000)
 
 
 def panel_with_median(inp):
@@ -49,12 +48,12 @@ def panel_with_median(inp):
 @query("walkforward_gbt_regressor")
 def walkforward_gbt_regressor(inp):
     panel = materialized(feat.panel_lags(inp.macro_long))
-    return op.walkforward_panel(panel, TARGETS, ROUNDS)
+    return op.walkforward_panel(panel, TARGETS)
 
 
 @query("reference_panel_models")
 def reference_panel_models(inp):
-    scored = op.walkforward_panel(panel_with_median(inp), TARGETS, ROUNDS, ("trees", "ridge", "residual_trees"))
+    scored = op.walkforward_panel(panel_with_median(inp), TARGETS, methods=("trees", "ridge", "residual_trees"))
     split = F.when(F.col("year") < 2001, "development").otherwise("holdout")
     errors = metrics.long_errors(scored.withColumn("split", split), ["country_code", "split"],
                                  ["persistence", "median5", "trees", "ridge", "residual_trees"], "actual")
@@ -63,7 +62,7 @@ def reference_panel_models(inp):
 
 @query("permutation_importance")
 def permutation_importance(inp):
-    return op.permutation_importance(model_rows(inp), 2000, rounds=ROUNDS)
+    return op.permutation_importance(model_rows(inp), 2000)
 
 
 @query("ridge_walkforward")
