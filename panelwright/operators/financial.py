@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from panelwright.functions.expressions import ratio
 from panelwright.operators.revisions import latest_by
 
+# Years in a history window, the selected one included.
+HISTORY_YEARS = {"policy": 10, "credit": 20, "index": 6}
+
 
 def at_offset(value: str, keys: list[str], order: str, offset: int) -> Column:
     """Value exactly ``offset`` calendar steps away; NULL if that step does not exist."""
@@ -65,6 +68,14 @@ def latest_in_year(series: DataFrame, keys: list[str]) -> DataFrame:
     return latest_by(series.withColumn("year", year), [*keys, "year"], [F.desc("mid")])
 
 
+def history_window(series: DataFrame, order: str, per_year: int, years: int) -> DataFrame:
+    """Rows of the ``years`` years up to each selected year; a code's selected years are those in which it has a record."""
+    dated = series.withColumn("year", F.floor(F.col(order) / per_year).cast("int"))
+    chosen = dated.select("code", F.col("year").alias("selected_year")).distinct()
+    ends = dated.withColumn("selected_year", F.explode(F.sequence("year", F.col("year") + years - 1))).drop("year")
+    return ends.join(chosen, ["code", "selected_year"], "left_semi")
+
+
 def latest_quarter(credit: DataFrame) -> DataFrame:
     """Ratio, trend and gap of the last reported quarter of the year; never mixed across quarters."""
     year = F.floor(F.col("qid") / 4).cast("int")

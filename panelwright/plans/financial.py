@@ -86,24 +86,16 @@ UNION ALL SELECT 'credit', CAST(s.c AS VARCHAR), s.y, count(*), count(value), mi
 FROM (SELECT DISTINCT nk AS c, CAST(floor(qid / 4) AS INT) AS y FROM credit_series) s
 JOIN credit_series p ON p.nk = s.c AND measure = 'gap' AND floor(qid / 4) BETWEEN s.y - 4 AND s.y GROUP BY ALL""")
 def history_window(inp):
-    def window(rows, years):
-        ends = rows.withColumn("selected_year", F.explode(F.sequence("year", F.col("year") + years - 1)))
-        return ends.join(rows.select("code", F.col("year").alias("selected_year")).distinct(),
-                         ["code", "selected_year"], "left_semi")
-
-    policy = inp.policy_series.select(F.col("country_code").alias("code"), F.col("mid").alias("id"), "value",
-                                      F.floor(F.col("mid") / 12).cast("int").alias("year"))
-    credit_all = inp.credit_series.select(F.col("nk").cast("string").alias("code"), F.col("qid").alias("id"), "value",
-                                          F.floor(F.col("qid") / 4).cast("int").alias("year"), "measure")
-    credit_rows = credit_all.filter("measure = 'gap'").drop("measure")
-    ends = credit_rows.withColumn("selected_year", F.explode(F.sequence("year", F.col("year") + 4)))
-    credit = ends.join(credit_all.select("code", F.col("year").alias("selected_year")).distinct(),
-                       ["code", "selected_year"], "left_semi")
-    both = window(policy, 4).withColumn("series", F.lit("policy")).unionByName(
-        credit.withColumn("series", F.lit("credit")))
-    return both.groupBy("series", "code", "selected_year").agg(
-        F.count("*").alias("rows"), F.count("value").alias("observed"), F.min("id").alias("first_id"),
-        F.max("id").alias("last_id"))
+    policy = inp.policy_series.select(F.col("country_code").alias("code"), F.lit("policy_rate").alias("measure"), "mid",
+                                      "value", "obs_status")
+    credit = inp.credit_series.select(F.col("nk").cast("string").alias("code"), "measure", "qid", "value")
+    changed = op.change_12m(index(inp)).withColumnRenamed("country_code", "code")
+    frame = None
+    for name, rows, order, per_year in (("policy", policy, "mid", 12), ("credit", credit, "qid", 4), ("index", changed, "mid", 12)):
+        window = op.history_window(rows, order, per_year, op.HISTORY_YEARS[name])
+        window = window.withColumnRenamed(order, "id").withColumn("series", F.lit(name))
+        frame = window if frame is None else frame.unionByName(window, allowMissingColumns=True)
+    return frame.withColumns({c: rounded(c, 6) for c in ("value", "value_12m_ago", "change_12m_pct")})
 
 
 @query("trim_to_last_observed", """
