@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.expressions import finite, ratio
 
-# Chapter ranges of the sections used by the test tables (first, last, name).
-SECTIONS = ((1, 5, "Section A"), (6, 14, "Section B"), (15, 25, "Section C"))
+# Chapter ranges of the 21 sections (first, last, name).
+SECTIONS = (
+    (1, 5, "动物及动物产品"), (6, 14, "植物产品"), (15, 15, "动植物油脂"), (16, 24, "食品饮料与烟草"), (25, 27, "矿物产品"),
+    (28, 38, "化工产品"), (39, 40, "塑料与橡胶"), (41, 43, "皮革与毛皮"), (44, 46, "木及木制品"), (47, 49, "纸与印刷品"),
+    (50, 63, "纺织品"), (64, 67, "鞋帽与羽毛制品"), (68, 70, "石材陶瓷与玻璃"), (71, 71, "珠宝与贵金属"), (72, 83, "贱金属及制品"),
+    (84, 85, "机械与电气设备"), (86, 89, "运输设备"), (90, 92, "精密仪器与乐器"), (93, 93, "武器弹药"), (94, 96, "杂项制品"),
+    (97, 97, "艺术品与古物"),
+)
 
 
 def country_dimension(nation: DataFrame, region: DataFrame) -> DataFrame:

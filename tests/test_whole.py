@@ -2,7 +2,7 @@
 
 import pytest
 
-from panelwright.operators import financial
+from panelwright.operators import financial, flows
 from panelwright.plans.registry import with_views
 from tests.compare import compare, duck
 
@@ -36,3 +36,22 @@ def test_history_window_edge(spark, name, years):
     rows = spark.createDataFrame([("A", y * 4) for y in range(1970, 2000)], "code string, id int")
     got = financial.history_window(rows, "id", 4, financial.HISTORY_YEARS[name]).filter("selected_year = 1999")
     assert sorted(r.id // 4 for r in got.collect()) == list(range(2000 - years, 2000))
+
+
+SECTION_STARTS = [1, 6, 15, 16, 25, 28, 39, 41, 44, 47, 50, 64, 68, 71, 72, 84, 86, 90, 93, 94, 97]
+
+
+def test_every_chapter_has_its_section(spark):
+    chapters = spark.createDataFrame([(f"{k:02d}",) for k in range(1, 100)], "hs2 string")
+    got = {int(r.hs2): r.section for r in flows.range_lookup(chapters, flows.section_names(spark)).collect()}
+    assert len(got) == 99 and got[98] is None and got[99] is None and got[15] == "动植物油脂" and got[97] == "艺术品与古物"
+    starts = [k for k in range(1, 98) if k == 1 or got[k] != got[k - 1]]
+    assert starts == SECTION_STARTS and len({got[k] for k in range(1, 98)}) == 21
+
+
+def test_sections_of_the_query(spark, connection):
+    import __spark_entry__ as entry
+
+    cases = " ".join(f"WHEN CAST(hs2 AS INT) BETWEEN {a} AND {b} THEN '{name}'" for a, b, name in flows.SECTIONS)
+    sql = f"SELECT year, hs2, CASE {cases} END AS section, round(sum(trade_usd), 4) + 0.0 AS trade_usd FROM flow_edges GROUP BY ALL"
+    assert compare(entry.queries()["range_lookup"](spark, SF), connection, with_views(sql)) == []
