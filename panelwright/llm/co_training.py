@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import pickle
 from collections.abc import Iterator
 
@@ -11,14 +12,19 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.common import steps
 from panelwright.llm.features import logistic, ngram_matrix, scores, shape_figures, sigmoid, word_figures
+from panelwright.session import materialized
 
 #: Hashed n-grams of the text view (a power of two), and places for source and language names in the page view.
 GRAMS, NAMES = 1024, 32
-#: Labelled reports, and reports without a label, in the training sample.
+#: Labelled reports in the training sample, and reports without a label that share in the views' means and deviations.
 LABELLED, POOL = 2500, 2500
 ROUNDS = 3
-#: Pseudo-labels that a view gives the other in a round, as shares of the pool: poor ones and good ones.
+#: Pseudo-labels that a view gives the other in a round, as shares of all reports without a label: poor ones and good ones.
 POOR, GOOD = 0.02, 0.10
+#: Of those at most ``POOR * TAUGHT`` and ``GOOD * TAUGHT`` train the other view.
+TAUGHT = 5000
+#: Raw scores are counted in steps of 1 / STEP; chances are counted in millionths.
+STEP, LUCK = 64, 1_000_000
 FEATURE_ROWS = "label int, content binary, page binary"
 
 
@@ -65,29 +71,100 @@ class View:
         return self.slope * self.raw(rows) + self.shift
 
 
-def co_train(content: np.ndarray, page: np.ndarray, labels: np.ndarray, pool_content: np.ndarray, pool_page: np.ndarray) -> tuple[View, View]:
-    """Both views after ``ROUNDS`` rounds. A fifth of the labelled rows calibrates and trains nothing."""
+def places(raw: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(raw, -1e6, 1e6) * STEP).astype(np.int32)
+
+
+def cut_offs(counts: dict[int, int], poor: float, good: float) -> tuple[int, int, int, int]:
+    """(place, luck) below which ``poor`` reports of raw score under -1 lie, and (place, luck) above which ``good`` over 1 lie; of
+    the reports at a place itself those with less luck are taken."""
+    def cut(found: list[int], wanted: float, last: int) -> tuple[int, int]:
+        for place in found:
+            if counts[place] >= wanted:
+                return place, int(LUCK * wanted / counts[place])
+            wanted -= counts[place]
+        return last, 0
+
+    return *cut(sorted(k for k in counts if k < -STEP), poor, -STEP), *cut(sorted((k for k in counts if k >= STEP), reverse=True), good, STEP - 1)
+
+
+def taken(place, luck, cut: tuple[int, int, int, int]) -> tuple:
+    """Whether a view takes a report as poor, and as good; of columns or arrays."""
+    low, low_luck, high, high_luck = cut
+    return (place < low) | ((place == low) & (luck < low_luck)), (place > high) | ((place == high) & (luck < high_luck))
+
+
+def _free(spread):
+    """Places of both views' scores, of the reports that no view took in an earlier round."""
+    def free(batches: Iterator):
+        import pyarrow as pa
+
+        sides, before = pickle.loads(spread.value)
+        for keys, texts in steps(batches, 5):
+            both = views(keys, texts)
+            luck, free = np.array([k[4] for k in keys]), np.ones(len(texts), bool)
+            for old, cuts in before:
+                for view, rows, cut in zip(old, both, cuts):
+                    poor, good = taken(places(view.raw(rows)), luck, cut)
+                    free &= ~(poor | good)
+            one, two = (places(view.raw(rows)) for view, rows in zip(sides, both))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array([k[0] for k in keys], np.int64)[free]), pa.array(luck[free].astype(np.int32)), pa.array(one[free]), pa.array(two[free])],
+                names=["report_id", "luck", "one", "two"])
+
+    return free
+
+
+def exchange(unlabelled: DataFrame, sides: list[View], before: list, n: int) -> tuple[list, DataFrame | None, int]:
+    """(cut-offs of both views, the bounded sample of what they took, reports without a label) of a round over all of ``unlabelled``.
+
+    ``before`` has views and cut-offs of the rounds before; ``n`` is the number of reports, 0 in the first round.
+    """
+    spark = unlabelled.sparkSession
+    spread = spark.sparkContext.broadcast(pickle.dumps((sides, before)))
+    left = materialized(unlabelled.select("report_id", "source", "lang", "n_chars", F.pmod(F.xxhash64("report_id"), F.lit(LUCK)).alias("luck"), "text").mapInArrow(
+        _free(spread), "report_id long, luck int, one int, two int"))
+    cuts, picks = [], []
+    for k, name in enumerate(("one", "two")):
+        counts = {r[name]: r["count"] for r in left.groupBy(name).count().collect()}
+        n = n or sum(counts.values())
+        cuts.append(cut_offs(counts, POOR * n, GOOD * n))
+        poor, good = taken(F.col(name), F.col("luck"), cuts[-1])
+        for value, flag, share in ((0, poor, POOR), (1, good, GOOD)):
+            some = left.where(flag).select("report_id").distinct().orderBy(F.xxhash64("report_id", F.lit("lesson"))).limit(int(share * TAUGHT))
+            picks += [(r[0], 2 * (1 - k) + value) for r in some.collect()]
+        left = left.where(~(poor | good))
+    if not picks:
+        return cuts, None, n
+    chosen = spark.createDataFrame(picks, "report_id long, label int")
+    lessons = unlabelled.join(F.broadcast(chosen), "report_id").select("label", "source", "lang", "n_chars", "text").mapInArrow(_featured, FEATURE_ROWS).toPandas()
+    return cuts, lessons.sort_values(["label", "content", "page"], kind="stable"), n
+
+
+def co_train(content: np.ndarray, page: np.ndarray, labels: np.ndarray, pool_content: np.ndarray, pool_page: np.ndarray, unlabelled: DataFrame) -> tuple[View, View]:
+    """Both views after ``ROUNDS`` rounds over ``unlabelled``. A fifth of the labelled rows calibrates and trains nothing."""
     fold = np.arange(len(labels)) % 5 == 0
     if len(set(labels[fold])) < 2 or len(set(labels[~fold])) < 2:
         fold = np.zeros(len(labels), bool)
     sides = [View(np.vstack([content, pool_content])), View(np.vstack([page, pool_page]))]
-    rows, pools = (content, page), (pool_content, pool_page)
-    extra: list[tuple[list, list]] = [([], []), ([], [])]  # places in the pool and labels that a view was taught
-    free = np.ones(len(pool_content), bool)
+    rows, names = (content, page), ("content", "page")
+    extra: list[tuple[list, list]] = [([], []), ([], [])]  # rows and labels that a view was taught
+    before: list[tuple[list, list]] = []
+    n = 0
     for turn in range(ROUNDS + 1):
-        for view, own, pool, (places, given) in zip(sides, rows, pools, extra):
-            view.fit(np.vstack([own[~fold], pool[places]]), np.concatenate([labels[~fold], np.array(given, labels.dtype)]))
-        if turn == ROUNDS or not free.any():
+        for view, own, (more, given) in zip(sides, rows, extra):
+            view.fit(np.vstack([own[~fold], *more]), np.concatenate([labels[~fold], *given]))
+        if turn == ROUNDS:
+            break
+        cuts, lessons, n = exchange(unlabelled, sides, before, n)
+        if lessons is None:
             break
-        for k, (view, pool) in enumerate(zip(sides, pools)):
-            left = np.flatnonzero(free)
-            order = left[np.argsort(view.raw(pool[left]), kind="stable")]
-            poor, good = order[: int(POOR * len(pool))], order[len(order) - int(GOOD * len(pool)) :]
-            poor, good = poor[view.raw(pool[poor]) < -1] if len(poor) else poor, good[view.raw(pool[good]) > 1] if len(good) else good
-            for places, value in ((poor, 0), (good, 1)):
-                extra[1 - k][0].extend(places.tolist())
-                extra[1 - k][1].extend([value] * len(places))
-            free[np.concatenate([poor, good]).astype(int)] = False
+        before.append(([copy.copy(view) for view in sides], cuts))
+        for k, name in enumerate(names):
+            own = lessons[lessons["label"] // 2 == k]
+            if len(own):
+                extra[k][0].append(np.frombuffer(b"".join(own[name]), np.float32).reshape(len(own), -1))
+                extra[k][1].append((own["label"] % 2).to_numpy(labels.dtype))
     check = fold if fold.any() else ~fold
     for view, own in zip(sides, rows):
         view.calibrate(own[check], labels[check])
@@ -129,12 +206,13 @@ def co_trained_quality(reports: DataFrame, labels: DataFrame, threshold: float =
 
     ``labels`` has (report_id, quality 0/1) for some reports; null or other values and ids without a report teach nothing.
     The text view holds hashed n-grams and word repetition; the page view holds source, language, stated length and layout. Both are
-    fitted on at most ``LABELLED`` labelled reports; in ``ROUNDS`` rounds each then labels its surest reports of a pool of about
-    ``POOL`` without label for the other view. A held-back fifth of the labelled reports calibrates both. ``score`` is the mean of the two
+    fitted on at most ``LABELLED`` labelled reports; in ``ROUNDS`` rounds each then labels the surest of all reports outside that
+    sample for the other view, which is fitted on at most ``TAUGHT`` times the shares of them. A held-back fifth of the labelled reports calibrates both. ``score`` is the mean of the two
     log odds; reports of at least ``threshold`` are kept. With labels of one kind or none, all are kept and have score
     0.5. Null texts and page data are empty or 0. Repeated rows are returned each time; an empty table gives an empty result.
 
-    Only the sample (``LABELLED`` + ``POOL`` rows of 5 KB, chosen by hashes of the ids) reaches the driver; scoring is one pass.
+    Only samples (``LABELLED`` + ``POOL`` rows of 5 KB and fewer than ``TAUGHT`` taught ones, chosen by hashes of the ids) and counts of
+    scores reach the driver; every round and the scoring are a pass each.
     """
     spark = reports.sparkSession
     rows = reports.select(F.col(report_id).cast("long").alias("report_id"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"),
@@ -154,7 +232,7 @@ def co_trained_quality(reports: DataFrame, labels: DataFrame, threshold: float =
     model = ((), 0.0)
     if sample.loc[taught, "label"].nunique() == 2:
         content, page = (np.frombuffer(b"".join(sample[c]), np.float32).reshape(len(sample), -1) for c in ("content", "page"))
-        model = (co_train(content[taught], page[taught], sample.loc[taught, "label"].to_numpy(int), content[~taught], page[~taught]), 0.0)
+        model = (co_train(content[taught], page[taught], sample.loc[taught, "label"].to_numpy(int), content[~taught], page[~taught], rows.join(F.broadcast(some.select("report_id")), "report_id", "left_anti")), 0.0)
     spread = spark.sparkContext.broadcast(pickle.dumps(model))
     return rows.select("report_id", "source", "lang", "n_chars", "text").mapInArrow(
         _score(spread, threshold), "report_id long, text_score double, page_score double, score double, kept boolean")

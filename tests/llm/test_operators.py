@@ -133,6 +133,37 @@ def test_components_of_a_path(spark):
     assert {r.v: r.label for r in components(edges).collect()} == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
 
 
+def test_cut_offs_take_the_stated_shares():
+    rng = np.random.default_rng(2)
+    raw, luck = rng.normal(0, 2, 50_000), rng.integers(0, co_training.LUCK, 50_000)
+    found = co_training.places(raw)
+    cut = co_training.cut_offs(Counter(found.tolist()), 1000, 5000)
+    poor, good = co_training.taken(found, luck, cut)
+    assert abs(poor.sum() - 1000) < 60 and abs(good.sum() - 5000) < 60
+    assert raw[poor].max() < np.sort(raw)[1100] and raw[good].min() > np.sort(raw)[-5500]
+    assert co_training.cut_offs({0: 9, -70: 1, 90: 2}, 5, 5) == (-co_training.STEP, 0, co_training.STEP - 1, 0)
+
+
+def test_every_unlabelled_report_enters_the_exchange(spark, monkeypatch):
+    """More reports than the pool holds: all are scored in each round, less those taken in earlier ones."""
+    good, poor = "the retail sales of the month rose and the index fell in may ", "zz zz 00 || zz zz 00 || "
+    rows = [(k, (good if k % 2 else poor) * (1 + k % 5) + str(k), "en", "s", 9) for k in range(400)]
+    docs = spark.createDataFrame(rows, "report_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "report_id long, quality int")
+    monkeypatch.setattr(co_training, "POOL", 20)
+    seen, real = [], co_training.exchange
+
+    def watched(unlabelled, sides, before, n):
+        out = real(unlabelled, sides, before, n)
+        seen.append((unlabelled.count(), out[2]))
+        return out
+
+    monkeypatch.setattr(co_training, "exchange", watched)
+    judged = co_training.co_trained_quality(docs, labels).collect()
+    assert seen and all(s == (360, 360) for s in seen)
+    assert all(r.kept == bool(r.report_id % 2) for r in judged)
+
+
 def test_quality_and_language(spark, reports):
     labels = spark.createDataFrame([(0, 1), (1, 0), (99, 0)], "report_id long, quality int")
     assert co_training.co_trained_quality(reports, labels).count() == len(TEXTS) + 1
