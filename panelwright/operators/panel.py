@@ -223,14 +223,15 @@ def label_lookup(codes: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def macro_profile(macro: DataFrame, countries: list[str], indicators: list[str], years: int) -> DataFrame:
-    """Value, global mid-rank and exact-endpoint change for a small selection, in every year."""
+def macro_profile(macro: DataFrame, years: int) -> DataFrame:
+    """Value, global mid-rank and exact-endpoint change of every country and indicator, in every year."""
+    indicators = sorted(r[0] for r in macro.select("indicator_code").filter("indicator_code IS NOT NULL").distinct().collect())
     cells = selection_grid(macro, indicators).filter(F.col("country_code").isNotNull())
     placed = cells.withColumns({
         "global_percentile": midrank("value", CELL), "global_observed": F.count("value").over(Window.partitionBy(*CELL)),
         "global_total": F.count("*").over(Window.partitionBy(*CELL)),
     })
     past = shifted(macro, years, "past_value")
-    return placed.filter(F.col("country_code").isin(countries)).join(
+    return placed.join(
         past, ["country_code", *CELL], "left"
     ).withColumns({"past_year": F.col("year") - years, "delta_pp": F.col("value") - F.col("past_value")})

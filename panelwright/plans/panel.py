@@ -268,8 +268,9 @@ SELECT o.country_code, o.year, o.indicator_code, round(o.value, 6) + 0.0 AS valu
 FROM o LEFT JOIN macro_long q ON q.country_code = o.country_code AND q.indicator_code = o.indicator_code AND q.year = o.year - 5
 WHERE o.country_code IN {PROFILE} AND o.indicator_code IN ('GROWTH', 'PRICES', 'OPEN_SHARE', 'URGENT_SHARE')""")
 def macro_profile(inp):
-    frame = op.macro_profile(inp.macro_long, ["N00", "N03", "N08", "N12", "N20"],
-                             ["GROWTH", "PRICES", "OPEN_SHARE", "URGENT_SHARE"], 5)
+    frame = op.macro_profile(inp.macro_long, 5).filter(
+        F.col("country_code").isin("N00", "N03", "N08", "N12", "N20")
+        & F.col("indicator_code").isin("GROWTH", "PRICES", "OPEN_SHARE", "URGENT_SHARE"))
     return frame.withColumns({c: rounded(c, 6) for c in ("value", "global_percentile", "past_value", "delta_pp")})
 
 

@@ -2,8 +2,8 @@
 
 import pytest
 
-from panelwright.operators import financial, flows
-from panelwright.plans.registry import with_views
+from panelwright.operators import financial, flows, panel
+from panelwright.plans.registry import inputs, with_views
 from tests.compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +55,10 @@ def test_sections_of_the_query(spark, connection):
     cases = " ".join(f"WHEN CAST(hs2 AS INT) BETWEEN {a} AND {b} THEN '{name}'" for a, b, name in flows.SECTIONS)
     sql = f"SELECT year, hs2, CASE {cases} END AS section, round(sum(trade_usd), 4) + 0.0 AS trade_usd FROM flow_edges GROUP BY ALL"
     assert compare(entry.queries()["range_lookup"](spark, SF), connection, with_views(sql)) == []
+
+
+def test_profile_has_every_country_and_indicator(spark):
+    macro = inputs(spark, SF).macro_long
+    seen = macro.filter("country_code IS NOT NULL").select("country_code", "indicator_code").distinct()
+    got = panel.macro_profile(macro, 5).select("country_code", "indicator_code").distinct()
+    assert seen.select("country_code").distinct().count() > 5 and seen.exceptAll(got).count() == 0
