@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm import (
-    article_text, co_training, exact_copies, language_codes, language_model, near_vectors, packing, shingle_join, token_cache, token_codec,
+    article_text, co_training, collocations, exact_copies, language_codes, language_model, near_vectors, packing, shingle_join, token_cache, token_codec,
 )
 from panelwright.llm.common import tokenizer_path
 from panelwright.session import shared_dir
@@ -76,10 +76,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("report_id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op12_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(reports(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_embedding_near_dedup, op2_bpe_round_trip, op3_exact_dedup, op4_quality_classifier, op5_html_extraction,
-        op6_ngram_jaccard_join, op7_lm_scoring, op8_packing, op9_token_counts, op10_language_id)
+        op6_ngram_jaccard_join, op7_lm_scoring, op8_packing, op9_token_counts, op10_language_id,
+        op12_phrase_collocation)
 }
 
 ORACLES: dict[str, str] = {
@@ -110,4 +115,23 @@ r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 m AS (SELECT a, min(b) AS m FROM r GROUP BY 1)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id
 FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN m ON w.doc_id = m.a""",
+    "op12_phrase_collocation": f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, 1 AS size, w[i] AS phrase FROM o UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1] FROM o WHERE i + 1 <= len(w)
+      UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM o WHERE i + 2 <= len(w)),
+f AS MATERIALIZED (SELECT lang, size, phrase, lang || chr(9) || phrase AS key, count(*) AS c FROM g GROUP BY ALL),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND c >= 10),
+i AS (SELECT lang, phrase, c, w, unnest(range(1, size)) AS k FROM c),
+k AS MATERIALIZED (SELECT *, lang || chr(9) || array_to_string(w[1:k], ' ') AS head, lang || chr(9) || array_to_string(w[k + 1:], ' ') AS tail FROM i),
+h AS MATERIALIZED (SELECT key, c FROM f WHERE c >= 10),
+s AS (SELECT k.lang, k.phrase, k.c AS a, x.c AS l, y.c AS r, k.k, (1000000::HUGEINT * k.c * k.c) // (x.c::HUGEINT * y.c) AS score
+      FROM k JOIN h x ON x.key = k.head JOIN h y ON y.key = k.tail),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+t AS (SELECT lang, phrase, max(c) AS c FROM (SELECT lang, w[1] || ' ' || w[2] AS phrase, c FROM c WHERE size = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], c FROM c WHERE size = 3) GROUP BY ALL),
+d AS (SELECT b.* FROM b LEFT JOIN t ON b.lang = t.lang AND b.phrase = t.phrase WHERE t.c IS NULL OR 100 * t.c < 50 * b.a),
+z AS (SELECT lang, sum(c) AS n FROM f WHERE size = 1 GROUP BY 1),
+e AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM d)
+SELECT e.lang, rank, phrase, a, l, r, CAST(z.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM e JOIN z ON e.lang = z.lang WHERE rank <= 2000""",
 }
