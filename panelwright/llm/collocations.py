@@ -2,30 +2,85 @@
 
 from __future__ import annotations
 
-import string
+import re
+import zlib
+from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import staged, text_of
+from panelwright.llm.common import staged, steps
 
-#: The signs and line ends that end a piece, and the white space between words.
-PIECE_ENDS, WORD_SPACES = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
+#: The signs and line ends that end a piece. Words are what spaces and tabs leave of it.
+PIECE_ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]")
+_LOWER = bytes(range(256)).lower()
+#: Distinct windows that a task counts before it hands them over.
+HELD = 400_000
+#: Buckets in which windows are shuffled: so many by the first word, times so many by the second.
+BY_FIRST, BY_SECOND = 1024, 16
 
 
-def longest_windows(reports: DataFrame, longest: int = 3, text: str = "text", lang: str = "lang") -> DataFrame:
+def _windows(longest: int):
+    def count(batches: Iterator):
+        """Counted windows, many to a row: lines of (head, last word, count) that share a language and a bucket."""
+        import pyarrow as pa
+
+        held: dict[str, Counter] = {}
+
+        def table():
+            rows: tuple[list, list, list] = ([], [], [])
+            for lang, counted in held.items():
+                lines: dict[int, list[bytes]] = {}
+                for window, c in counted.items():
+                    bucket = zlib.crc32(window[0]) % BY_FIRST * BY_SECOND + zlib.crc32(window[1]) % BY_SECOND
+                    lines.setdefault(bucket, []).append(b"%b\t%b\t%d" % (b" ".join(window[:-1]).rstrip(b" "), window[-1], c))
+                for bucket, own in lines.items():
+                    rows[0].append(lang)
+                    rows[1].append(bucket)
+                    rows[2].append(b"\n".join(sorted(own)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary()).cast(pa.string())],
+                                              names=["lang", "bucket", "lines"])
+
+        pads = [[b""] * k for k in range(longest)]
+        for langs, texts in steps(batches):
+            for lang, text in zip(langs, texts):
+                counted = held.setdefault(lang, Counter())
+                for piece in PIECE_ENDS.split(text.translate(_LOWER)):
+                    words = piece.split()
+                    counted.update(zip(words, *(words[k:] + pads[k] for k in range(1, longest))))
+            if sum(map(len, held.values())) > HELD:
+                yield table()
+        yield table()
+
+    return count
+
+
+def longest_windows(reports: DataFrame, min_count: int, longest: int = 3, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, w1 .. w``longest``, c): how often each word stands before the words that follow it in its piece.
 
-    Every word occurrence gives one window, itself and its ``longest`` - 1 successors; where the piece ends earlier the rest
-    is null. The successors are the row's own word array moved by one, two, ... places (a lead inside the row), so texts are
-    not shuffled and only counted windows leave a task.
+    Every word occurrence gives one window, itself and its ``longest`` - 1 successors (lead columns: the piece's words moved
+    by one, two, ... places); where the piece ends earlier the rest is null. A last word is null too where the
+    window occurs less than ``min_count`` times, and the one before it where all windows with that head do: such phrases are no
+    candidates, and the sums of shorter prefixes stay what they are.
+
+    A task counts its windows in bounded portions and hands them over many to a row, dealt by the first two words, so that
+    whole windows and their heads are counted in one shuffle and repeated windows are combined before it.
     """
-    lowered = F.translate(text_of(text), string.ascii_uppercase, string.ascii_lowercase)
-    pieces = reports.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.explode(F.split(lowered, PIECE_ENDS)).alias("piece"))
-    worded = pieces.select("lang", F.array_remove(F.split("piece", WORD_SPACES), "").alias("words")).where(F.size("words") > 0)
-    leads = ["words", *(F.slice("words", k + 1, F.size("words")) for k in range(1, longest))]
-    windows = worded.select("lang", F.inline(F.arrays_zip(*leads)).alias(*(f"w{k}" for k in range(1, longest + 1))))
-    return windows.groupBy(*windows.columns).agg(F.count("*").alias("c"))
+    rows = reports.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
+    packed = rows.mapInArrow(_windows(longest), "lang string, bucket int, lines string").repartition("bucket", "lang")
+    line = packed.select("lang", "bucket", F.explode(F.split("lines", "\n")).alias("line"))
+    part = line.select("lang", "bucket", F.split("line", "\t").alias("p")).select(
+        "lang", "bucket", F.col("p")[0].alias("head"), F.col("p")[1].alias("last"), F.col("p")[2].cast("long").alias("c"))
+    whole = part.groupBy("bucket", "lang", "head", "last").agg(F.sum("c").alias("c"))
+    cut = whole.withColumn("last", F.when((F.col("c") >= min_count) & (F.col("last") != ""), F.col("last")))
+    heads = cut.groupBy("bucket", "lang", "head", "last").agg(F.sum("c").alias("c"))
+    heads = heads.withColumn("total", F.sum("c").over(Window.partitionBy("bucket", "lang", "head"))).withColumn("w", F.split("head", " "))
+    words = [F.get("w", F.lit(k)) for k in range(longest - 1)]
+    words[-1] = F.when(F.col("total") >= min_count, words[-1])
+    named = heads.select("lang", *(w.alias(f"w{k}") for k, w in enumerate(words, 1)), F.col("last").alias(f"w{longest}"), "c")
+    return named.groupBy(*named.columns[:-1]).agg(F.sum("c").alias("c"))
 
 
 def phrase_counts(windows: DataFrame, min_count: int) -> DataFrame:
@@ -54,12 +109,12 @@ def collocations(reports: DataFrame, min_count: int = 10, longest: int = 3, cove
     Null texts are empty and have no words, a null language is 'und'; repeated rows count each time; ids and other columns are not read, so they
     may clash with no name here. An empty table, or a language without a frequent phrase, gives no rows.
 
-    Only windows of the longest order are counted from texts; a ROLLUP over their word columns gives every shorter phrase as
-    a prefix sum. Both aggregations combine before the shuffle, so a hot word or phrase is one row per task. All counts that
-    a candidate needs are at least its own, so only frequent phrases are kept. Joins to the parts are many-to-one (AQE splits
+    Only windows of the longest order are counted from texts (``longest_windows``); a ROLLUP over their word columns gives every
+    shorter phrase as a prefix sum. Counts are combined before each shuffle, so a hot word or phrase is a row per task portion. All
+    counts that a candidate needs are at least its own, so only frequent phrases are kept. Joins to the parts are many-to-one (AQE splits
     those of a hot word); the top list is cut per task before a language's rows meet.
     """
-    counts = staged(phrase_counts(longest_windows(reports, longest, text, lang), min_count), "phrases")
+    counts = staged(phrase_counts(longest_windows(reports, min_count, longest, text, lang), min_count), "phrases")
     phrases = counts.where("size >= 2").select("lang", "size", "phrase", F.col("c").alias("a"))
     cuts = phrases.select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cuts = cuts.select("*", F.expr("substring_index(phrase, ' ', k)").alias("first"), F.expr("substring_index(phrase, ' ', k - size)").alias("rest"))
