@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm import (
-    article_text, co_training, collocations, exact_copies, language_codes, language_model, near_vectors, packing, shingle_join, token_cache, token_codec,
+    article_text, co_training, collocations, exact_copies, hard_negatives, language_codes, language_model, near_vectors, packing, shingle_join, token_archive,
+    token_cache, token_codec,
 )
 from panelwright.llm.common import tokenizer_path
 from panelwright.session import shared_dir
@@ -76,15 +77,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("report_id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # every call writes an archive of its own
+    archive = f"{shared_dir(spark)}/llm/archive-{uuid.uuid4().hex}"
+    token_archive.write_archive(reports(table(spark, sf_dir, "documents")), archive, tokenizer_path(BYTE_VOCABULARY))
+    stored = token_archive.read_archive(spark, archive)
+    return stored.select(F.col("report_id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op12_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(reports(table(spark, sf_dir, "documents")))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), outcome.alias("outcome"), F.col("embedding").alias("features"))
+    return hard_negatives.hard_negatives(vectors, "row_id % 100 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_embedding_near_dedup, op2_bpe_round_trip, op3_exact_dedup, op4_quality_classifier, op5_html_extraction,
         op6_ngram_jaccard_join, op7_lm_scoring, op8_packing, op9_token_counts, op10_language_id,
-        op12_phrase_collocation)
+        op11_token_output, op12_phrase_collocation, op13_hard_negatives)
 }
 
 ORACLES: dict[str, str] = {
@@ -134,4 +149,15 @@ d AS (SELECT b.* FROM b LEFT JOIN t ON b.lang = t.lang AND b.phrase = t.phrase W
 z AS (SELECT lang, sum(c) AS n FROM f WHERE size = 1 GROUP BY 1),
 e AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM d)
 SELECT e.lang, rank, phrase, a, l, r, CAST(z.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM e JOIN z ON e.lang = z.lang WHERE rank <= 2000""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL),
+f AS (SELECT DISTINCT vec_id, label, list_transform(e, lambda x: floor(256 * x)) AS q FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM f a JOIN f b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
