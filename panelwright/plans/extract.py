@@ -2,7 +2,9 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.expressions import rounded
 from panelwright.operators import extract as op
+from panelwright.operators import report_rules as rules
 from panelwright.plans.registry import query
+from panelwright.sources.bulletins import facts_sql
 
 HOSTS = ["blog.tionsh.example.net", "ththther.example.org", "www.ththhe.example.com", "m.ththth.example.net", "blog.ththon.example.net"]
 
@@ -126,3 +128,10 @@ def url_allowlist(inp):
     url = F.when(page % 7 == 3, F.regexp_replace("url", "://", "://user@")).when(
         page % 11 == 5, F.regexp_replace("url", "(://[^/]+)", "$1:8443")).otherwise(F.col("url"))
     return inp.pages.select("page_id", url.alias("url")).withColumn("allowed", op.url_allowed(F.col("url"), HOSTS))
+
+
+@query("report_facts", facts_sql(rules.LIMITS))
+def report_facts(inp):
+    written = inp.bulletins.select("doc_id", "mid", "html", F.explode(F.array("title")).alias("title"))  # written once
+    pages = op.with_text(written).select(F.col("doc_id").alias("report_id"), "title", F.col("mid").alias("period"), "text")
+    return rules.report_facts(pages.withColumn("kind", op.report_type(F.col("title"))))

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelwright.sources.bulletins import bulletin_sql
+
 RAW_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
@@ -153,6 +155,9 @@ SELECT doc_id AS question_id, k, qform, p0, p3, CASE s % 3 WHEN 1 THEN replace(p
 """,
 }
 
+# reports of every kind, with decoys
+VIEW_SQL["bulletins"] = bulletin_sql()
+
 # Few bytes from which long texts are written and parsed: spread over all cores before the texts exist.
 FANS_OUT = ("report_src",)
 
