@@ -79,12 +79,16 @@ def latest_index_change(inp):
 
 
 @query("history_window", """
-SELECT 'policy' AS series, s.c AS code, s.y AS selected_year, count(*) AS rows, count(value) AS observed, min(mid) AS first_id, max(mid) AS last_id
-FROM (SELECT DISTINCT country_code AS c, CAST(floor(mid / 12) AS INT) AS y FROM policy_series) s
-JOIN policy_series p ON p.country_code = s.c AND floor(mid / 12) BETWEEN s.y - 3 AND s.y GROUP BY ALL
-UNION ALL SELECT 'credit', CAST(s.c AS VARCHAR), s.y, count(*), count(value), min(qid), max(qid)
-FROM (SELECT DISTINCT nk AS c, CAST(floor(qid / 4) AS INT) AS y FROM credit_series) s
-JOIN credit_series p ON p.nk = s.c AND measure = 'gap' AND floor(qid / 4) BETWEEN s.y - 4 AND s.y GROUP BY ALL""")
+WITH ix AS (SELECT country_code AS c, mid, 'nominal' AS measure, nominal AS value FROM index_series
+  UNION ALL SELECT country_code, mid, 'real_value', real_value FROM index_series),
+s AS (SELECT 'policy' AS series, 10 AS k, country_code AS code, 'policy_rate' AS measure, CAST(floor(mid / 12) AS INT) AS y, mid AS id,
+    value, obs_status, CAST(NULL AS DOUBLE) AS value_12m_ago, CAST(NULL AS DOUBLE) AS change_12m_pct FROM policy_series
+  UNION ALL SELECT 'credit', 20, CAST(nk AS VARCHAR), measure, CAST(floor(qid / 4) AS INT), qid, value, NULL, NULL, NULL FROM credit_series
+  UNION ALL SELECT 'index', 6, a.c, a.measure, CAST(floor(a.mid / 12) AS INT), a.mid, a.value, NULL, b.value, 100 * (a.value / nullif(b.value, 0) - 1)
+    FROM ix a LEFT JOIN ix b ON a.c = b.c AND a.measure = b.measure AND a.mid = b.mid + 12)
+SELECT s.series, s.code, e.y AS selected_year, measure, id, round(value, 6) + 0.0 AS value, obs_status,
+  round(value_12m_ago, 6) + 0.0 AS value_12m_ago, round(change_12m_pct, 6) + 0.0 AS change_12m_pct
+FROM s JOIN (SELECT DISTINCT series, code, y FROM s) e ON e.series = s.series AND e.code = s.code AND s.y BETWEEN e.y - k + 1 AND e.y""")
 def history_window(inp):
     policy = inp.policy_series.select(F.col("country_code").alias("code"), F.lit("policy_rate").alias("measure"), "mid",
                                       "value", "obs_status")

@@ -255,22 +255,16 @@ def forecast_extract(inp):
                        F.lit("2001-04").alias("vintage"), F.lit("projection").alias("status"))
 
 
-PROFILE = "('N00', 'N03', 'N08', 'N12', 'N20')"
-
-
-@query("macro_profile", f"""
+@query("macro_profile", """
 WITH o AS (SELECT a.country_code, a.year, a.indicator_code, a.value, count(b.value) AS global_observed,
   100.0 * (count(*) FILTER (WHERE b.value < a.value) + 0.5 * count(*) FILTER (WHERE b.value = a.value)) / nullif(count(b.value), 0) AS p,
   count(*) AS global_total FROM macro_long a JOIN macro_long b ON a.year = b.year AND a.indicator_code = b.indicator_code GROUP BY ALL)
 SELECT o.country_code, o.year, o.indicator_code, round(o.value, 6) + 0.0 AS value,
   CASE WHEN o.value IS NOT NULL THEN round(p, 6) + 0.0 END AS global_percentile, global_observed, global_total,
   CAST(o.year - 5 AS INT) AS past_year, round(q.value, 6) + 0.0 AS past_value, round(o.value - q.value, 6) + 0.0 AS delta_pp
-FROM o LEFT JOIN macro_long q ON q.country_code = o.country_code AND q.indicator_code = o.indicator_code AND q.year = o.year - 5
-WHERE o.country_code IN {PROFILE} AND o.indicator_code IN ('GROWTH', 'PRICES', 'OPEN_SHARE', 'URGENT_SHARE')""")
+FROM o LEFT JOIN macro_long q ON q.country_code = o.country_code AND q.indicator_code = o.indicator_code AND q.year = o.year - 5""")
 def macro_profile(inp):
-    frame = op.macro_profile(inp.macro_long, 5).filter(
-        F.col("country_code").isin("N00", "N03", "N08", "N12", "N20")
-        & F.col("indicator_code").isin("GROWTH", "PRICES", "OPEN_SHARE", "URGENT_SHARE"))
+    frame = op.macro_profile(inp.macro_long, 5)
     return frame.withColumns({c: rounded(c, 6) for c in ("value", "global_percentile", "past_value", "delta_pp")})
 
 
