@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.functions.alignment import script
+
 
 def fingerprint(frame: DataFrame, columns: list, keys: list[str], extra: tuple[Column, ...] = ()) -> DataFrame:
     """Order-insensitive content hash per group, with further aggregates of the same pass if asked for.
@@ -136,6 +140,55 @@ def line_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     )
 
 
+SCRIPT = "hunk int, op string, old_no int, new_no int, line string"
+
+
+def line_script(old: DataFrame, new: DataFrame, key: str, context: int | None = 3) -> DataFrame:
+    """(``key``, hunk, op, old_no, new_no, line): how the lines of each document (``key``, text) change between two versions.
+
+    ``op`` is ``-`` for a removed line, ``+`` for an added one and a blank for a kept line within ``context`` lines of a change
+    (all of them with None). Line numbers begin at 1; a removed line has the number of the new line before it, an added one
+    that of the old line before it. Lines that stand once in both versions are aligned first, as their longest rising chain, and the
+    stretches between them by a shortest edit script (``functions.alignment``). A document without changes gives no rows; one that
+    stands in one version only, or has a null text in the other, is all added or removed. Keys are unique and not null.
+
+    Both versions are joined on the key; every document is aligned in its own row, in memory that grows with its lines.
+    """
+    before = old.select(key, F.col("text").alias("old_text"))
+    after = new.select(key, F.col("text").alias("new_text"))
+    changed = before.join(after, key, "full").filter(~F.col("old_text").eqNullSafe(F.col("new_text")))
+    schema = f"{key} {changed.schema[key].dataType.simpleString()}, {SCRIPT}"
+
+    def align(batches: Iterator):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(len(batch)):
+                lines = [t.split("\n") if t is not None else [] for t in (batch.column(1)[k].as_py(), batch.column(2)[k].as_py())]
+                rows = script(*lines, context)
+                for low in range(0, len(rows), 10_000):
+                    columns = list(zip(*rows[low : low + 10_000]))
+                    kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
+                    keys = pa.array([batch.column(0)[k].as_py()] * len(columns[0]), batch.column(0).type)
+                    yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(columns, kinds))],
+                                                     names=[key, "hunk", "op", "old_no", "new_no", "line"])
+
+    return changed.mapInArrow(align, schema)
+
+
+def apply_script(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """(``key``, text) of the later version, rebuilt from the earlier one and the removed and added lines of ``line_script``.
+
+    A document whose lines were all removed has no row.
+    """
+    lines = old.select(key, F.posexplode(F.split("text", "\n")).alias("old_no", "line")).withColumn("old_no", F.col("old_no") + 1)
+    removed = changes.filter("op = '-'").select(key, "old_no")
+    stays = lines.join(removed, [key, "old_no"], "left_anti").select(key, F.struct("old_no", F.lit(0).alias("added"), F.lit(0).alias("new_no"), "line").alias("l"))
+    added = changes.filter("op = '+'").select(key, F.struct("old_no", F.lit(1).alias("added"), "new_no", "line").alias("l"))
+    whole = stays.unionByName(added).groupBy(key).agg(F.array_sort(F.collect_list("l")).alias("lines"))
+    return whole.select(key, F.array_join(F.transform("lines", lambda l: l["line"]), "\n").alias("text"))
+
+
 def typed_cells(frame: DataFrame, keys: list[str], columns: list[str], name: str) -> DataFrame:
     """Long form with every cell as text and its type."""
     types = dict(frame.dtypes)

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.expressions import rounded
 from panelwright.operators import flows as op
+from panelwright.operators import intervals
 from panelwright.plans.registry import query
 from panelwright.sources import flow_files
 
@@ -202,15 +203,31 @@ def top_partners(inp):
     return frame.withColumns({"trade_usd": rounded("trade_usd", 4), "share": rounded("share", 6)})
 
 
-@query("range_lookup", """
-SELECT year, hs2, CASE WHEN CAST(hs2 AS INT) BETWEEN 1 AND 5 THEN 'Section A' WHEN CAST(hs2 AS INT) BETWEEN 6 AND 14
-  THEN 'Section B' WHEN CAST(hs2 AS INT) BETWEEN 15 AND 25 THEN 'Section C' END AS section,
-  round(sum(trade_usd), 4) + 0.0 AS trade_usd FROM flow_edges GROUP BY ALL""")
+SECTION_CASES = " ".join(f"WHEN CAST(hs2 AS INT) BETWEEN {first} AND {last} THEN '{name}'" for first, last, name in op.SECTIONS)
+
+
+@query("range_lookup", f"""
+SELECT year, hs2, CASE {SECTION_CASES} END AS section, round(sum(trade_usd), 4) + 0.0 AS trade_usd FROM flow_edges GROUP BY ALL""")
 def range_lookup(inp):
     totals = edges(inp).groupBy("year", "hs2").agg(rounded(F.sum("trade_usd"), 4).alias("trade_usd"))
     return op.range_lookup(totals, op.section_names(inp.spark))
 
 
+@query("interval_totals", """
+WITH d AS (SELECT l_suppkey AS s, datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS day, count(*) AS n FROM lineitem GROUP BY ALL),
+r AS (SELECT s_suppkey AS s, k, 8000 + 37 * (s_suppkey % 50) + 11 * k AS low, 8000 + 37 * (s_suppkey % 50) + 11 * k + 60 * k * k - 1 AS high FROM supplier, (SELECT unnest(range(0, 8)) AS k))
+SELECT r.s AS supplier, CAST(k AS INT) AS span, CAST(sum(n) AS BIGINT) AS rows, CAST(min(day) AS INT) AS first_day, CAST(max(day) AS INT) AS last_day
+FROM r JOIN d ON d.s = r.s AND day BETWEEN low AND high GROUP BY ALL""")
+def interval_totals(inp):
+    """Shipments of a supplier within overlapping spans of a few days to several years (the first span is empty)."""
+    days = inp.lineitem.groupBy(F.col("l_suppkey").alias("supplier"), F.unix_date(F.col("l_shipdate").cast("date")).alias("day")).agg(F.count("*").alias("n"))
+    start = 8000 + 37 * (F.col("s_suppkey") % 50) + 11 * F.col("span")
+    spans = inp.supplier.select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("span")).select(
+        F.col("s_suppkey").alias("supplier"), "span", start.alias("low"), (start + 60 * F.col("span") * F.col("span") - 1).alias("high"))
+    joined = intervals.interval_join(days, spans, "day", "low", "high", ("supplier",))
+    return joined.groupBy("supplier", "span").agg(F.sum("n").alias("rows"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+
+
 @query("chapter_lookup", """
 WITH names AS (SELECT DISTINCT lpad(regexp_extract(p_brand, '([0-9]+)', 1), 2, '0') AS h, p_brand AS n FROM part
                WHERE p_brand <> 'Brand#7'),

@@ -200,6 +200,33 @@ def line_diff(inp):
     return rev.line_diff(old, old.withColumn("text", edited), "doc_id")
 
 
+def _edited_documents(inp):
+    """Two versions of every document: the later loses every seventh line, gains lines and has others rewritten."""
+    old = inp.documents.groupBy("doc_id").agg(F.max("text").alias("text"))
+    edited = F.flatten(F.transform(F.split("text", "\n"), lambda l, i: F.when((i + 1) % 7 == 4, F.array().cast("array<string>"))
+                       .when((i + 1) % 5 == 2, F.array(l, F.concat(F.lit("added "), (i + 1).cast("string"))))
+                       .when((i + 1) % 11 == 3, F.array(F.replace(l, F.lit("the"), F.lit("THE")))).otherwise(F.array(l))))
+    return old, old.withColumn("text", F.array_join(edited, "\n"))
+
+
+LATER = """
+SELECT doc_id, array_to_string(flatten(list_transform(string_split(text, chr(10)), lambda l, i: CASE WHEN i % 7 = 4 THEN [] WHEN i % 5 = 2 THEN [l, 'added ' || i]
+  WHEN i % 11 = 3 THEN [replace(l, 'the', 'THE')] ELSE [l] END)), chr(10)) AS text FROM (SELECT doc_id, max(text) AS text FROM documents GROUP BY 1)"""
+
+
+@query("line_diff_script")
+def line_diff_script(inp):
+    # no SQL: the alignment is checked by its replay (line_diff_replay) and against brute force in the tests
+    return rev.line_script(*_edited_documents(inp), "doc_id")
+
+
+@query("line_diff_replay", f"SELECT doc_id, md5(text) AS text_md5, CAST(len(string_split(text, chr(10))) AS INT) AS lines FROM ({LATER})")
+def line_diff_replay(inp):
+    old, new = _edited_documents(inp)
+    rebuilt = rev.apply_script(old, rev.line_script(old, new, "doc_id"), "doc_id")
+    return rebuilt.select("doc_id", F.md5("text").alias("text_md5"), F.size(F.split("text", "\n")).alias("lines"))
+
+
 @query("partner_evidence_check", """
 SELECT year, country_code, hs2, abs(export_usd - 2 * export_usd * (CASE WHEN hs2 = '09' THEN 1 ELSE 0.5 END)) <= 1e-10 * export_usd AS amount_ok,
   partner_gdp_coverage > 0 AS coverage_ok, partner_gdp IS NOT NULL AS growth_ok FROM sector_base""")
