@@ -33,7 +33,8 @@ def _windows(longest: int):
             for lang, counted in held.items():
                 lines: dict[int, list[bytes]] = {}
                 for window, c in counted.items():
-                    bucket = zlib.crc32(window[0]) % BY_FIRST * BY_SECOND + zlib.crc32(window[1]) % BY_SECOND
+                    second = window[1] if longest > 2 else b""  # all windows with one head share a bucket
+                    bucket = zlib.crc32(window[0]) % BY_FIRST * BY_SECOND + zlib.crc32(second) % BY_SECOND
                     lines.setdefault(bucket, []).append(b"%b\t%b\t%d" % (b" ".join(window[:-1]).rstrip(b" "), window[-1], c))
                 for bucket, own in lines.items():
                     rows[0].append(lang)
