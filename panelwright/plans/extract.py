@@ -3,8 +3,10 @@ from pyspark.sql import functions as F
 from panelwright.functions.expressions import rounded
 from panelwright.operators import extract as op
 from panelwright.operators import report_rules as rules
+from panelwright.operators import report_tables as tables
 from panelwright.plans.registry import query
 from panelwright.sources.bulletins import facts_sql
+from panelwright.sources.statements import statement_facts_sql
 
 HOSTS = ["blog.tionsh.example.net", "ththther.example.org", "www.ththhe.example.com", "m.ththth.example.net", "blog.ththon.example.net"]
 
@@ -135,3 +137,25 @@ def report_facts(inp):
     written = inp.bulletins.select("doc_id", "mid", "html", F.explode(F.array("title")).alias("title"))  # written once
     pages = op.with_text(written).select(F.col("doc_id").alias("report_id"), "title", F.col("mid").alias("period"), "text")
     return rules.report_facts(pages.withColumn("kind", op.report_type(F.col("title"))))
+
+
+@query("table_layout_facts", statement_facts_sql(rules.LIMITS))
+def table_layout_facts(inp):
+    written = inp.statements.select("doc_id", "layout", "mid", F.explode(F.array("html")).alias("html"))  # written once
+    return tables.table_facts(written.select(F.col("doc_id").alias("report_id"), "layout", F.col("mid").alias("period"), "html"))
+
+
+@query("table_cells_lateral", """
+SELECT page_id, CAST(number - 1 AS INT) AS table_no, CAST(row_no AS INT) AS row_no, CAST(col_no AS INT) AS col_no,
+  CASE WHEN number = 1 AND col_no = 1 THEN 'see' || 'name' || CAST(page_id AS VARCHAR) || 'host' || CAST(page_id % 7 AS VARCHAR) WHEN number = 1 THEN 'page'
+       WHEN col_no = 0 THEN CASE row_no WHEN 0 THEN 'name' ELSE 'host' END ELSE CASE row_no WHEN 0 THEN CAST(page_id AS VARCHAR) ELSE CAST(page_id % 7 AS VARCHAR) END END AS text,
+  CASE WHEN number = 1 AND col_no = 1 AND page_id % 3 = 1 THEN 'span ''2px''' END AS reject
+FROM pages, (SELECT unnest([1, 1, 2, 2, 2, 2]) AS number, unnest([0, 0, 0, 1, 0, 1]) AS row_no, unnest([0, 1, 0, 0, 1, 1]) AS col_no)""")
+def table_cells_lateral(inp):
+    """Cells of a table within a table that is put before every page; some have a span that no reader takes."""
+    page = F.col("page_id").cast("string")
+    span = F.when(F.col("page_id") % 3 == 1, F.lit(" colspan='2px'")).otherwise(F.lit(""))
+    inner = F.concat(F.lit("<table><tr><th>name</th><td>"), page, F.lit("</td></tr><tr><th>host</th><td>"), (F.col("page_id") % 7).cast("string"), F.lit("</td></tr></table>"))
+    bare = F.regexp_replace("html", r"(?i)</?(?:table|tr|td|th)\b[^>]*>", "")
+    html = F.concat(F.lit("<table><tr><td>page</td><td"), span, F.lit(">see "), inner, F.lit("</td></tr></table>"), bare)
+    return tables.table_cells(inp.pages.select("page_id", html.alias("html")))

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.sources.bulletins import bulletin_sql
+from panelwright.sources.statements import statement_sql
 
 RAW_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -157,6 +158,8 @@ SELECT doc_id AS question_id, k, qform, p0, p3, CASE s % 3 WHEN 1 THEN replace(p
 
 # reports of every kind, with decoys
 VIEW_SQL["bulletins"] = bulletin_sql()
+# report pages with tables in four layouts
+VIEW_SQL["statements"] = statement_sql()
 
 # Few bytes from which long texts are written and parsed: spread over all cores before the texts exist.
 FANS_OUT = ("report_src",)
