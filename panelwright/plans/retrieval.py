@@ -1,12 +1,13 @@
 from pyspark.sql import functions as F
 
 from panelwright.functions.expressions import rounded
-from panelwright.operators import metrics
+from panelwright.operators import answers, metrics
 from panelwright.operators import monthly as mo
 from panelwright.operators import retrieval as op
 from panelwright.plans.metrics import BT, backtest
 from panelwright.plans.monthly import CHANGE
 from panelwright.plans.registry import query
+from panelwright.sources.asked import ANSWERS_SQL
 
 TABLES = ", ".join("'" + t.replace("'", "''") + "'" for t in (op.WIDE, op.NARROW))
 
@@ -143,3 +144,10 @@ def typed_claims(inp):
     entry = F.transform(F.map_entries("values"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
     return op.typed_claims(inp.monthly_obs, changes, selected).select(
         "key", "claim", "kind", F.array_join("evidence_ids", ",").alias("evidence_ids"), F.array_join(entry, ";").alias("values"))
+
+
+@query("question_answers", ANSWERS_SQL)
+def question_answers(inp):
+    asked = inp.asked_questions.select("question_id", F.explode(F.array("question")).alias("question"))  # written once
+    found = answers.answer_questions(asked, inp.indicator_obs, inp.indicator_models)
+    return found.select("question_id", "status", "reason", "key", "tool", "first_period", "last_period", rounded("value", 6).alias("value"), "n", "extreme_periods", "evidence_ids")

@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelwright.sources.asked import asked_views
 from panelwright.sources.bulletins import bulletin_sql
 from panelwright.sources.statements import statement_sql
 
@@ -160,6 +161,7 @@ SELECT doc_id AS question_id, k, qform, p0, p3, CASE s % 3 WHEN 1 THEN replace(p
 VIEW_SQL["bulletins"] = bulletin_sql()
 # report pages with tables in four layouts
 VIEW_SQL["statements"] = statement_sql()
+VIEW_SQL |= asked_views()
 
 # Few bytes from which long texts are written and parsed: spread over all cores before the texts exist.
 FANS_OUT = ("report_src",)
