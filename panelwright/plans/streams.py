@@ -1,9 +1,12 @@
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from panelwright.functions.expressions import rounded
 from panelwright.plans.registry import query
 from panelwright.sources.flow_files import fresh_path
 from panelwright.streaming import streams as op
+from panelwright.streaming import tables
 
 
 def readings(inp):
@@ -11,13 +14,16 @@ def readings(inp):
     path = fresh_path(inp.spark, "readings")
     rows = inp.obs_versions.select("key", "mid", "value", "source_url", F.col("version").cast("bigint").alias("sequence"))
     for version in (1, 2):
-        rows.filter(F.col("sequence") == version).coalesce(1).write.mode("append").parquet(path)
+        rows.filter(F.col("sequence") == version).write.mode("append").parquet(path)
     return op.folder_stream(inp.spark, path, rows.schema, files_per_batch=1)
 
 
 def events(inp):
     """The event table as a stream in the shape of the release log."""
-    raw = op.event_time(op.table_stream(inp.spark, inp.directory, "events"))
+    return shaped(op.event_time(op.table_stream(inp.spark, inp.directory, "events")))
+
+
+def shaped(raw):
     status = F.when(F.col("event_type") == "purchase", "published").when(F.col("event_type") == "error", "failed").when(
         F.col("event_type") == "signup", "restored").otherwise("checked")
     return raw.select(
@@ -82,3 +88,45 @@ def stream_late_publication(inp):
     calendar = inp.report_src.select("mid", F.col("mid").alias("calendar_mid")).distinct()
     flagged = op.run_to_files(op.late_publications(op.folder_stream(inp.spark, path, rows.schema), calendar), "late-publications")
     return flagged.select("doc_id", "mid", F.col("published").cast("string").alias("published"), "lag_months", "flagged")
+
+
+@query("stream_expiring_revisions", """
+WITH a AS (SELECT * FROM obs_versions WHERE version = 1), b AS (SELECT * FROM obs_versions WHERE version = 2)
+SELECT key, mid, CAST(2 AS BIGINT) AS sequence, a.value AS old_value, b.value AS new_value, a.source_url AS old_url, b.source_url AS new_url,
+  CASE WHEN a.value IS DISTINCT FROM b.value THEN 'value_revision' ELSE 'source_update' END AS outcome FROM a JOIN b USING (key, mid) WHERE a.value IS DISTINCT FROM b.value OR a.source_url IS DISTINCT FROM b.source_url
+UNION ALL SELECT key, mid, 1, NULL, value, NULL, source_url, 'rejected: stale' FROM a WHERE mid % 5 = 0""")
+def stream_expiring_revisions(inp):
+    """The second version as a stream over the first as a table; a part of the first is delivered again and refused."""
+    rows = inp.obs_versions.select("key", "mid", "value", "source_url", F.col("version").cast("bigint").alias("sequence"),
+                                   F.timestamp_seconds(F.col("mid").cast("long") * 86400).alias("arrived"))
+    path = fresh_path(inp.spark, "expiring-readings")
+    rows.filter("sequence = 2 OR mid % 5 = 0").write.parquet(path)
+    stream = op.folder_stream(inp.spark, path, rows.schema)
+    return op.run_to_files(tables.expiring_revisions(stream, rows.filter("sequence = 1"), timedelta(days=36500), "1 day"), "expiring-revisions")
+
+
+@query("stream_sliding_counts", """
+WITH e AS (SELECT *, event_id % 50 = 7 AS delayed FROM release_events), m AS (SELECT max(ts) FILTER (WHERE NOT delayed) - INTERVAL 6 HOUR AS mark, max(ts) - INTERVAL 6 HOUR AS last FROM e),
+w AS (SELECT e.*, date_trunc('day', ts) - o * INTERVAL 1 DAY AS start FROM e, (SELECT unnest([0, 1]) AS o)),
+c AS (SELECT start, stem, value, last, delayed AND start + INTERVAL 2 DAY <= mark AS late FROM w, m)
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, stem, count(*) FILTER (WHERE NOT late) AS events, round(sum(value) FILTER (WHERE NOT late), 4) + 0.0 AS total, count(*) FILTER (WHERE late) AS late_events
+FROM c GROUP BY start, stem, last HAVING start + INTERVAL 2 DAY <= last""")
+def stream_sliding_counts(inp):
+    """Two-day windows that begin every day, over three deliveries; the last brings events that are long past."""
+    rows = shaped(op.event_time(inp.events))
+    delayed = F.col("event_id") % 50 == 7
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    middle = F.lit(first + (last - first) / 2)
+    path, target = fresh_path(inp.spark, "deliveries"), fresh_path(inp.spark, "sliding")
+    for part in (~delayed & (F.col("ts") < middle), ~delayed & (F.col("ts") >= middle), delayed):
+        rows.filter(part).write.mode("append").parquet(path)
+        tables.sliding_counts(op.folder_stream(inp.spark, path, rows.schema), "2 days", "1 day", "6 hours", target)
+    closed = tables.closed_windows(inp.spark, target, "6 hours")
+    return closed.select(stamp("start"), "stem", "events", rounded("total", 4).alias("total"), "late_events")
+
+
+@query("stream_compacted_table", """
+SELECT key, mid, value, source_url, CAST(version AS INT) AS sequence FROM (SELECT *, row_number() OVER (PARTITION BY key, mid ORDER BY version DESC) AS n FROM obs_versions) WHERE n = 1""")
+def stream_compacted_table(inp):
+    target = tables.merge_compacted(readings(inp), ["key", "mid"], "sequence", every=2)
+    return tables.compacted_table(inp.spark, target, ["key", "mid"], "sequence").select("key", "mid", "value", "source_url", F.col("sequence").cast("int").alias("sequence"))

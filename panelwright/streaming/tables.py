@@ -118,14 +118,15 @@ def sliding_assignments(events: DataFrame, width: str, slide: str) -> DataFrame:
     return events.select("*", F.window("ts", width, slide).alias("w")).select(*events.columns, F.col("w.start").alias("start"), F.col("w.end").alias("end"))
 
 
-def sliding_counts(events: DataFrame, width: str, slide: str, delay: str) -> str:
+def sliding_counts(events: DataFrame, width: str, slide: str, delay: str, target: str | None = None) -> str:
     """Counts of overlapping windows and, apart, the rows that came after their window had closed; the path of both.
 
     A batch's watermark is the latest event time of the batches before it, less ``delay``, as for any stream. A row of a
     window that ends by then is late for it and goes to ``late``; the others are counted, per batch, in ``counts``. Each batch writes its
-    own part of both and its latest time in ``times``: a replay replaces them, and every assignment is in exactly one of the two.
+    own part of both and its latest time in ``times``: a replay replaces them, and every assignment is in exactly one of the two. A
+    stopped stream goes on if its path is given as ``target``.
     """
-    spark, target = events.sparkSession, fresh_path(events.sparkSession, "sliding")
+    target = target or fresh_path(events.sparkSession, "sliding")
     times = "latest timestamp, batch long"
 
     def write(batch: DataFrame, batch_id: int) -> None:
