@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from panelwright.functions.expressions import rounded
+from panelwright.functions.unicode import fold
 from panelwright.operators import answers, metrics
 from panelwright.operators import monthly as mo
 from panelwright.operators import retrieval as op
@@ -151,3 +152,12 @@ def question_answers(inp):
     asked = inp.asked_questions.select("question_id", F.explode(F.array("question")).alias("question"))  # written once
     found = answers.answer_questions(asked, inp.indicator_obs, inp.indicator_models)
     return found.select("question_id", "status", "reason", "key", "tool", "first_period", "last_period", rounded("value", 6).alias("value"), "n", "extreme_periods", "evidence_ids")
+
+
+@query("text_fold", r"""
+SELECT doc_id, CAST(length(t) AS INT) AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id, lower(regexp_replace(text, '\s+', '', 'g')) AS t FROM documents)""")
+def text_fold(inp):
+    """Texts whose digits, letters, ligatures and blanks stand in compatibility forms fold back to the plain ones."""
+    odd = F.translate(F.replace("text", F.lit("fi"), F.lit("\ufb01")), "0123456789ABCXYZ ", "０１２３４５６７８９ＡＢＣⅩＹＺ\u00a0")
+    written = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(odd)
+    return inp.documents.select("doc_id", fold(written).alias("t")).select("doc_id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
