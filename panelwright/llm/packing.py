@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import staged, steps
+from panelwright.llm.memory import tidy
 from panelwright.llm.word_tokens import word_encoder
 
 PIECES = "report_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -126,7 +127,7 @@ def packed(reports: DataFrame, tokenizer: str, end: int = 2, capacity: int = 409
     is packed each time; an empty table gives an empty result. The pieces are written once in the shared folder.
     """
     rows = reports.select(F.col(report_id).cast("long").alias("report_id"), F.col(text).alias("text")).where("report_id IS NOT NULL")
-    pieces = staged(rows.mapInArrow(_pack(tokenizer, end, capacity, windows), PIECES + ", left boolean"), "pieces")
+    pieces = staged(rows.mapInArrow(tidy(_pack(tokenizer, end, capacity, windows)), PIECES + ", left boolean"), "pieces")
     group = F.floor(F.col("sequence_id") / F.lit(SEQUENCES * MERGED)).alias("merge_group")
     left = pieces.where("left").drop("left").groupBy(group).applyInPandas(_merge(capacity), PIECES)
     return pieces.where("NOT left").drop("left").unionByName(left)

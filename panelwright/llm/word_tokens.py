@@ -13,7 +13,7 @@ from panelwright.llm.common import is_plain, merges, reference_tokenizer, span_h
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Words a worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 120_000
 
 
 @lru_cache(maxsize=1)
