@@ -117,11 +117,21 @@ def flow_audit(flows: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def totals_reconcile(flows: DataFrame, dim: DataFrame) -> DataFrame:
-    """Aggregates must add up to the raw total once (pairs) and twice (chapters)."""
-    raw = flows.groupBy(F.col("t").alias("year")).agg((F.sum("v") * 1000).alias("raw"))
-    pairs = bilateral_totals(flows, dim).groupBy("year").agg(F.sum("trade_usd").alias("pairs"))
-    chapters = chapter_totals(flows, dim).groupBy("year").agg(F.sum("trade_usd").alias("chapters"))
-    joined = raw.join(pairs, "year", "left").join(chapters, "year", "left")
+    """Aggregates must add up to the raw total once (pairs) and twice (chapters).
+
+    Raw total, pairs and chapter cells are grouping sets of one pass over the flows, combined before the one shuffle; only reduced
+    rows meet the dimension, and a side that it does not know is missing from its total.
+    """
+    levels = flows.sparkSession.sql(
+        """SELECT t, i, j, grouping_id() AS level, sum(v) * 1000 AS usd FROM (SELECT t, i, j, substring(k, 1, 2) AS hs2, v FROM {flows})
+        GROUP BY GROUPING SETS ((t), (t, i, j), (t, i, j, hs2))""", flows=flows)
+    raw, pair, cell = (F.col("level") == n for n in (7, 1, 0))  # bits of i, j and hs2 that are not grouped
+    sides = star_join(levels, dim, "left")
+    exporter, importer = F.col("exporter_code").isNotNull(), F.col("importer_code").isNotNull()
+    of = lambda level, known: F.sum(F.when(level & known, F.col("usd")))
+    joined = sides.groupBy(F.col("t").alias("year")).agg(
+        of(raw, F.lit(True)).alias("raw"), of(pair, exporter & importer).alias("pairs"),
+        (F.coalesce(of(cell, exporter), F.lit(0.0)) + F.coalesce(of(cell, importer), F.lit(0.0))).alias("chapters"))
 
     def agrees(total: str, times: int) -> Column:
         expected = F.col("raw") * times

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwright.operators.revisions import fingerprint
-from panelwright.session import shared_dir
+from panelwright.session import materialized, shared_dir
 
 FLOW_SCHEMA = T.StructType(
     [
@@ -44,23 +45,29 @@ def edge_audit(edges: DataFrame) -> DataFrame:
 
 
 def write_edges(edges: DataFrame, path: str, raw_totals: DataFrame) -> DataFrame:
-    """Write the years whose content changed and return the audit table.
+    """Write the years whose content changed and return the audit table (with ``current``).
 
-    Dynamic overwrite replaces only the partitions present in the written frame, so valid years stay.
-    ``raw_totals`` (year, raw_usd) gives the amount the chapter rule left out.
+    Dynamic overwrite replaces only the partitions present in the written frame, so valid years stay. A year that an earlier run wrote and this
+    one has not keeps its rows, and its audit row says that it is not ``current``. The edges are computed once and written to the shared
+    folder before they are compared. ``raw_totals`` (year, raw_usd) gives the amount the chapter rule left out.
     """
     spark = edges.sparkSession
     audit_path = f"{path}_audit"
+    edges = materialized(edges)
     audit = edge_audit(edges).join(raw_totals, "year", "left").withColumn(
         "excluded_usd", F.col("raw_usd") - F.col("total_usd")
-    )
+    ).withColumn("current", F.lit(True))
+    changed = audit.select("year")
     try:
-        known = spark.read.parquet(audit_path).select("year", "fingerprint")
-        changed = audit.join(known, ["year", "fingerprint"], "left_anti").select("year")
-    except Exception as error:  # first run: no audit yet
-        if "PATH_NOT_FOUND" not in str(error):
+        known = materialized(spark.read.parquet(audit_path))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        changed = audit.select("year")
+    else:
+        known = known if "current" in known.columns else known.withColumn("current", F.lit(True))
+        changed = audit.join(known, ["year", "fingerprint"], "left_anti").select("year")
+        gone = known.join(audit.select("year"), "year", "left_anti").withColumn("current", F.lit(False))
+        audit = audit.unionByName(gone)
     dynamic = {"partitionOverwriteMode": "dynamic"}
     # one shuffle by year and country: a hot year is spread over several files
     stale = edges.join(changed, "year", "left_semi").repartition("year", "country_code")
