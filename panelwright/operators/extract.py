@@ -6,10 +6,6 @@ Wordings and formats of the reports are fixed values.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -220,64 +216,14 @@ def page_links(pages: DataFrame, path: str) -> DataFrame:
     )
 
 
-class _Cells(HTMLParser):
-    """Collects the tables of one page as rows of (text, rowspan, colspan)."""
-
-    def __init__(self):
-        super().__init__()
-        self.tables: list[list[list[list]]] = []
-        self.cell: list | None = None
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            self.tables.append([])
-        elif tag == "tr" and self.tables:
-            self.tables[-1].append([])
-        elif tag in ("td", "th") and self.tables and self.tables[-1]:
-            sizes = dict(attrs)
-            self.cell = ["", int(sizes.get("rowspan", 1)), int(sizes.get("colspan", 1))]
-            self.tables[-1][-1].append(self.cell)
-
-    def handle_endtag(self, tag):
-        if tag in ("td", "th"):
-            self.cell = None
-
-    def handle_data(self, data):
-        if self.cell is not None:
-            self.cell[0] += "".join(data.split())
-
-
-def _expanded(html: str) -> Iterator[tuple[int, int, int, str]]:
-    parser = _Cells()
-    parser.feed(html)
-    for number, rows in enumerate(parser.tables):
-        filled: dict[tuple[int, int], str] = {}
-        for r, cells in enumerate(rows):
-            c = 0
-            for text, height, width in cells:
-                while (r, c) in filled:
-                    c += 1
-                for dr in range(height):
-                    for dc in range(width):
-                        filled[r + dr, c + dc] = text
-        for (r, c), text in sorted(filled.items()):
-            yield number, r, c, text
-
-
-CELL_SCHEMA = "doc_id string, table_no int, row_no int, col_no int, text string"
-
-
 def html_table_cells(pages: DataFrame) -> DataFrame:
-    """Rectangular cells of every table with row and column spans expanded."""
+    """Rectangular cells of every table (doc_id, table_no, row_no, col_no, text) with row and column spans expanded.
 
-    def expand(batches):
-        for batch in batches:
-            rows = [(d, *cell) for d, h in zip(batch["doc_id"], batch["html"]) for cell in _expanded(h)]
-            yield pd.DataFrame(rows, columns=["doc_id", "table_no", "row_no", "col_no", "text"])
+    Nested tables are tables of their own; ``report_tables.table_cells`` says too which spans it has not taken at their word.
+    """
+    from panelwright.operators.report_tables import table_cells
 
-    # only the tables travel to Python, not the pages around them
-    tables = F.array_join(F.regexp_extract_all("html", F.lit(r"(?is)(<table\b.*?</table>)"), F.lit(1)), "")
-    return pages.select("doc_id", tables.alias("html")).mapInPandas(expand, CELL_SCHEMA)
+    return table_cells(pages.select("doc_id", "html")).drop("reject")
 
 
 def table_values(cells: DataFrame) -> DataFrame:

@@ -109,11 +109,10 @@ def table_cells(pages: DataFrame, html: str = "html") -> DataFrame:
     ``reject`` says what is wrong with a cell's span (it is then taken as the nearest of 1 to 100); readers refuse the table.
     Only pages with a table reach Python, and each gives its rows one by one; a page without tables, or a null one, gives none.
     """
-    from pyspark.sql.functions import col
-
-    kept = pages.where(F.col(html).rlike(r"(?i)<table\b"))
     names = [c for c in pages.columns if c != html]
-    return kept.lateralJoin(TableCells(col(html).outer())).select(*names, "table_no", "row_no", "col_no", "text", "reject")
+    once = pages.select(*names, F.explode(F.array(html)).alias(html))  # a page that is made by an expression is made once
+    kept = once.where(F.col(html).rlike(r"(?i)<table\b"))
+    return kept.lateralJoin(TableCells(F.col(html).outer())).select(*names, "table_no", "row_no", "col_no", "text", "reject")
 
 
 # ---- layouts -----------------------------------------------------------------------------------------------------

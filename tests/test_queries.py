@@ -17,7 +17,9 @@ SAMPLE = (
     "asof_latest_value financial_sheet simple_baselines rolling_percentile_60m purged_training_window publication_boundary "
     "revision_upsert active_versions table_fingerprint line_diff coverage_window observation_audit union_sources "
     "rank_auc calibration_bins block_bootstrap_ci latency_quantiles metric_slices page_text page_links pattern_facts "
-    "table_series_values normalize_panel_records explode_forecast_maps text_normalize route_top1 batch_answers typed_claims"
+    "table_series_values normalize_panel_records explode_forecast_maps text_normalize route_top1 batch_answers typed_claims "
+    "report_facts table_layout_facts table_cells_lateral line_diff_replay interval_totals question_answers text_fold range_lookup "
+    "history_window totals_reconcile stream_sliding_counts stream_compacted_table stream_expiring_revisions"
 ).split()
 
 
