@@ -38,6 +38,9 @@ LEVEL_RULES = (("unemployment", r"全国城镇调查失业率为(\d+(?:\.\d+)?)%
 # Plausible range per fact.
 LIMITS = (("cpi_yoy", -20.0, 30.0), ("retail_yoy", -50.0, 80.0), ("unemployment", 0.0, 30.0))
 
+# Year and month of publication in a report's address.
+ADDRESS_MONTH = r"/((?:19|20)\d{2})(\d{2})/"
+
 # Signs of an access-verification page.
 BLOCK_MARKERS = ("Please enable JavaScript", "__jsl_clearance", "acw_sc__v2")
 
@@ -88,11 +91,13 @@ def publication_date(html: Column) -> Column:
     return F.coalesce(parts(meta), parts(listing), F.lit(""))
 
 
-def title_period(title: Column, published: Column) -> Column:
-    """Month a title speaks about; without a year the publication date decides, rolled back over new year."""
+def title_period(title: Column, published: Column, url: Column | None = None) -> Column:
+    """Month a title speaks about; without a year the publication date decides, or without one the month in the address
+    (``/YYYYMM/``), rolled back over new year."""
     stated = F.regexp_extract(title, r"((?:19|20)\d{2})年", 1)
-    year = F.coalesce(stated.try_cast("int"), F.substring(published, 1, 4).try_cast("int"))
-    released = F.substring(published, 6, 2).try_cast("int")
+    folder = lambda k: F.lit(None).cast("int") if url is None else F.regexp_extract(url, ADDRESS_MONTH, k).try_cast("int")
+    year = F.coalesce(stated.try_cast("int"), F.substring(published, 1, 4).try_cast("int"), folder(1))
+    released = F.coalesce(F.substring(published, 6, 2).try_cast("int"), folder(2))
     number = F.regexp_extract(title, r"(?:\d+[—－-])?(\d{1,2})月份?", 1).try_cast("int")
     annual = title.rlike(
         r"^(?:19|20)\d{2}年(?:全国)?(?:固定资产投资|房地产市场|房地产开发投资|规模以上工业企业利润|金融统计数据报告)")

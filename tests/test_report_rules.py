@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from panelwright.operators.extract import plain_text, report_type
+from panelwright.operators.extract import plain_text, report_type, title_period
 from panelwright.operators.report_rules import LIMITS, report_facts, rule_table
 from pyspark.sql import functions as F
 
@@ -108,3 +108,12 @@ def test_text_of_a_page_gives_the_same(spark):
     page = spark.createDataFrame([("<div>" + text.replace("，", "， \n") + "</div>",)], "html string")
     rows = found(spark, [(title, period, page.select(plain_text(F.col("html"))).first()[0])])
     assert {r.key: r.value for r in rows} == expected
+
+
+def test_period_from_the_address(spark):
+    cases = [("12月份居民消费价格变动情况", "", "https://x.example/sj/202401/t1.html", "2023-12"), ("3月份居民消费价格变动情况", "", "https://x.example/202404/t1.html", "2024-03"),
+             ("3月份居民消费价格变动情况", "2022-04-11", "https://x.example/202404/t1.html", "2022-03"), ("2021年5月份情况", "", "https://x.example/202404/t1.html", "2021-05"),
+             ("5月份情况", "", "https://x.example/t1.html", None), ("公报", "", "https://x.example/202404/t1.html", None)]
+    frame = spark.createDataFrame([c[:3] for c in cases], "title string, published string, url string")
+    got = [r[0] for r in frame.select(title_period(F.col("title"), F.col("published"), F.col("url"))).collect()]
+    assert got == [c[3] for c in cases]
