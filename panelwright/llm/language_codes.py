@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.common import crc_remainder, steps
 from panelwright.llm.features import logistic, ngram_matrix, scores
+from panelwright.llm.memory import give_back
 
 #: Hashed n-gram features of a text (a power of two).
 FEATURES = 2048
@@ -20,7 +21,13 @@ FEATURES = 2048
 PER_LANGUAGE = 400
 #: A text whose best and second codeword are closer than this is flagged as ambiguous.
 MARGIN = 0.1
-LETTER = re.compile(r"[^\W\d_]")
+_LETTER_OR_NUMERAL = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a sign of the text is a letter; numerals such as fractions, powers and Roman numbers are none."""
+    found = _LETTER_OR_NUMERAL.search(text)
+    return found is not None and any(map(str.isalpha, text[found.start():]))
 
 
 def codewords(classes: int) -> np.ndarray:
@@ -85,7 +92,7 @@ def _predict(spread):
 
         known, model, codes, trust = pickle.loads(spread.value)
         for keys, texts in steps(batches):
-            letters = np.array([LETTER.search(t.decode()) is not None for t in texts], bool)
+            letters = np.array([has_letter(t.decode()) for t in texts], bool)
             if known:
                 place, score, lead = decode(scores(ngram_matrix(texts, FEATURES, True), model), codes, trust)
             else:
@@ -100,10 +107,10 @@ def _predict(spread):
 
 def languages(reports: DataFrame, training: DataFrame | None = None, held_out: int = 5, report_id: str = "report_id",
               text: str = "text", lang: str = "lang") -> DataFrame:
-    """(report_id, lang_pred, score, ambiguous) of every report with an id.
+    """(report_id, held_out, lang_pred, score, ambiguous) of every report with an id.
 
     Training uses rows of ``training`` (default: ``reports``) with a language and a text whose crc32 of the id as text is not
-    divisible by ``held_out``; of these a sample of about ``PER_LANGUAGE`` per language, chosen by a hash of the id, so a
+    divisible by ``held_out``; of these a sample of about ``PER_LANGUAGE`` ids per language, chosen by a hash, one row each, so a
     language that fills a third of the table weighs no more than another. A prediction uses the text alone. Every bit of the codewords has a
     binary classifier over hashed n-grams; the codeword of smallest loss, each bit weighted by its held-out reliability,
     is the answer. ``score`` in 0..1 is its share among all codewords, ``ambiguous`` marks a lead below ``MARGIN``. Null texts and texts
@@ -122,7 +129,8 @@ def languages(reports: DataFrame, training: DataFrame | None = None, held_out: i
     if len(known) > 1:
         share = F.create_map(*[F.lit(x) for k in known for x in (k, min(1.0, PER_LANGUAGE / counts[k]))])
         chosen = labelled.where(F.pmod(F.xxhash64("report_id", F.lit("lang")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-        sample = chosen.select("lang", "text").mapInArrow(_sample, "lang string, features binary").toPandas()
+        chosen = chosen.groupBy("report_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.*")  # an id may stand on many rows
+        sample = chosen.mapInArrow(_sample, "lang string, features binary").toPandas()
         sample = sample.sort_values(["lang", "features"]).reset_index(drop=True)
         sample = sample.iloc[np.random.default_rng(3).permutation(len(sample))]
         known = sorted(set(sample["lang"]))
@@ -130,5 +138,8 @@ def languages(reports: DataFrame, training: DataFrame | None = None, held_out: i
             rows = np.frombuffer(b"".join(sample["features"]), np.float16).reshape(-1, FEATURES).astype(np.float32)
             model = (known, *train(rows, sample["lang"].tolist(), known))
     spread = spark.sparkContext.broadcast(pickle.dumps(model))  # bits x 8 KB
+    sample = model = None
+    give_back()  # the driver holds on to nothing of the sample
     rows = reports.select(F.col(report_id).cast("long").alias("report_id"), F.col(text).alias("text")).where("report_id IS NOT NULL")
-    return rows.mapInArrow(_predict(spread), "report_id long, lang_pred string, score double, ambiguous boolean")
+    found = rows.mapInArrow(_predict(spread), "report_id long, lang_pred string, score double, ambiguous boolean")
+    return found.select("report_id", (crc_remainder("report_id", held_out) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")

@@ -24,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reports(frame: DataFrame) -> DataFrame:
-    """Documents as report records: an id, a text, and the page data the documents have."""
-    return frame.withColumnRenamed("doc_id", "report_id")
+    """Documents as report records: an id, a text, and the page data the documents have; a column of the id's name gives way."""
+    return frame.drop("report_id").withColumnRenamed("doc_id", "report_id")
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +72,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = reports(table(spark, sf_dir, "documents"))
-    found = language_codes.languages(documents)
-    held_out = F.pmod(F.crc32(F.col("report_id").cast("string").cast("binary")), F.lit(5)) == 0
-    return found.select(F.col("report_id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+    return language_codes.languages(documents).withColumnRenamed("report_id", "doc_id")
 
 
 def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
