@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.common import steps
 from panelwright.llm.features import logistic, ngram_matrix, scores, shape_figures, sigmoid, word_figures
+from panelwright.llm.memory import give_back
 from panelwright.session import materialized
 
 #: Hashed n-grams of the text view (a power of two), and places for source and language names in the page view.
@@ -204,7 +205,8 @@ def co_trained_quality(reports: DataFrame, labels: DataFrame, threshold: float =
                        source: str = "source", lang: str = "lang", n_chars: str = "n_chars", quality: str = "quality") -> DataFrame:
     """(report_id, text_score, page_score, score, kept) of every report with an id; score is the chance of good quality.
 
-    ``labels`` has (report_id, quality 0/1) for some reports; null or other values and ids without a report teach nothing.
+    ``labels`` has (report_id, quality 0/1) for some reports; null or other values and ids without a report teach nothing, nor do they
+    take places in the sample. Of labels that contradict each other the smaller counts.
     The text view holds hashed n-grams and word repetition; the page view holds source, language, stated length and layout. Both are
     fitted on at most ``LABELLED`` labelled reports; in ``ROUNDS`` rounds each then labels the surest of all reports outside that
     sample for the other view, which is fitted on at most ``TAUGHT`` times the shares of them. A held-back fifth of the labelled reports calibrates both. ``score`` is the mean of the two
@@ -218,14 +220,16 @@ def co_trained_quality(reports: DataFrame, labels: DataFrame, threshold: float =
     rows = reports.select(F.col(report_id).cast("long").alias("report_id"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"),
                           F.col(n_chars).cast("long").alias("n_chars"), F.col(text).alias("text")).where("report_id IS NOT NULL")
     given = labels.select(F.col(report_id).cast("long").alias("report_id"), F.col(quality).cast("int").alias("label")).where("report_id IS NOT NULL AND label IN (0, 1)")
-    given = given.groupBy("report_id").agg(F.min("label").alias("label"))
+    given = given.groupBy("report_id").agg(F.min("label").alias("label")).join(rows.select("report_id"), "report_id", "left_semi")
     # each class gets half of the sample if it has so many
     some = given.where("label = 0").orderBy(F.xxhash64("report_id")).limit(LABELLED // 2).unionByName(
         given.where("label = 1").orderBy(F.xxhash64("report_id")).limit(LABELLED // 2))
     n = max(1, rows.count())
     marked = rows.join(F.broadcast(some), "report_id", "left")  # at most LABELLED rows
     lucky = F.pmod(F.xxhash64("report_id", F.lit("pool")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, POOL / n))
-    sample = marked.where(F.col("label").isNotNull() | lucky).select("label", "source", "lang", "n_chars", "text").mapInArrow(_featured, FEATURE_ROWS).toPandas()
+    sample = marked.where(F.col("label").isNotNull() | lucky).groupBy("report_id").agg(
+        F.min(F.struct("label", "source", "lang", "n_chars", "text")).alias("r")).select("r.*")  # an id may stand on many rows
+    sample = sample.mapInArrow(_featured, FEATURE_ROWS).toPandas()
     sample = sample.sort_values(["content", "page"], kind="stable").reset_index(drop=True)
     sample = sample.iloc[np.random.default_rng(5).permutation(len(sample))]
     taught = sample["label"].notna().to_numpy()
@@ -234,5 +238,7 @@ def co_trained_quality(reports: DataFrame, labels: DataFrame, threshold: float =
         content, page = (np.frombuffer(b"".join(sample[c]), np.float32).reshape(len(sample), -1) for c in ("content", "page"))
         model = (co_train(content[taught], page[taught], sample.loc[taught, "label"].to_numpy(int), content[~taught], page[~taught], rows.join(F.broadcast(some.select("report_id")), "report_id", "left_anti")), 0.0)
     spread = spark.sparkContext.broadcast(pickle.dumps(model))
+    sample = content = page = model = None
+    give_back()  # the driver holds on to nothing of the sample
     return rows.select("report_id", "source", "lang", "n_chars", "text").mapInArrow(
         _score(spread, threshold), "report_id long, text_score double, page_score double, score double, kept boolean")
