@@ -37,9 +37,10 @@ def near_ids(frame: DataFrame, column: str, ids: DataFrame, keep: bool = True) -
     The broadcast side holds bucket numbers, at most ``FILTER_BUCKETS`` rows at any size. With very many ids every
     bucket is taken and all rows may match: the exact join that follows gives the same result, only later.
     """
-    buckets = F.broadcast(ids.select(bucket_of(ids.columns[0]).alias("_bucket")).distinct())
+    name = max(["_bucket", *(f"_{c}" for c in frame.columns)], key=len)  # longer than any column's name
+    buckets = F.broadcast(ids.select(bucket_of(ids.columns[0]).alias(name)).distinct())
     how = "left_semi" if keep else "left_anti"
-    return frame.withColumn("_bucket", bucket_of(column)).join(buckets, "_bucket", how).drop("_bucket")
+    return frame.withColumn(name, bucket_of(column)).join(buckets, name, how).drop(name)
 
 
 def components(edges: DataFrame) -> DataFrame:
