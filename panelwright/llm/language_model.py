@@ -155,28 +155,45 @@ def run_window(net: dict, ids: np.ndarray, state: np.ndarray, fresh: np.ndarray)
     return out, h, (before, gates[:, :, :HIDDEN], gates[:, :, HIDDEN:], cand, inner)
 
 
+#: Steps of a rounded state, and of a rounded matrix up to its largest entry. With 16 terms a product's sum has at most 24 bits: single
+#: precision holds it exactly, in whatever order it is added.
+STEPS_OF_ONE = 1 << 10
+_ROUNDS = np.float32(1.5 * 2**23 / STEPS_OF_ONE)  # adding and taking away rounds to these steps
+
+
+def rounded_matrix(w: np.ndarray) -> np.ndarray:
+    """``w`` in steps of a power of two, at most ``STEPS_OF_ONE`` of them on each side of zero."""
+    most = float(np.abs(w).max(initial=0))
+    step = 2.0 ** math.ceil(math.log2(most)) / STEPS_OF_ONE if most else 1.0
+    return (np.rint(w.astype(np.float64) / step) * step).astype(np.float32)
+
+
 class Reader:
-    """Scores windows of a fixed number of lanes in arrays made once."""
+    """Scores windows of a fixed number of lanes in arrays made once.
+
+    Products are taken of rounded states and rounded matrices, which makes them exact: what a text scores depends neither on the
+    texts beside it nor on its lane.
+    """
 
     STEPS = 64
 
     def __init__(self, net: dict, width: int):
-        self.net, self.width = net, width
+        self.net, self.width = net | {k: rounded_matrix(net[k]) for k in ("recur", "classes", "within")}, width
         sized = lambda *shape: np.empty(shape, np.float32)
         self.x, self.u, self.gates = sized(width, 3 * HIDDEN), sized(width, 3 * HIDDEN), sized(width, 2 * HIDDEN)
         self.n, self.out = sized(width, HIDDEN), sized(self.STEPS, width, HIDDEN)
         self.logits, self.rows = sized(self.STEPS * width, KNOWN // CLASS), sized(self.STEPS * width, HIDDEN)
         self.within = sized(self.STEPS * width, CLASS)
-        self.state = np.zeros((width, HIDDEN), np.float32)
+        self.state, self.rounded = np.zeros((width, HIDDEN), np.float32), np.zeros((width, HIDDEN), np.float32)
 
     def hidden(self, ids: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-        """States of a window; ``self.state`` goes on from the window before."""
-        begins, h, x, u, gates, n = fresh.any(1), self.state, self.x, self.u, self.gates, self.n
+        """Rounded states of a window; ``self.state`` goes on from the window before."""
+        begins, h, x, u, gates, n, near = fresh.any(1), self.state, self.x, self.u, self.gates, self.n, self.rounded
         for t in range(len(ids)):
             if begins[t]:
-                h[fresh[t]] = 0
+                h[fresh[t]] = near[fresh[t]] = 0
             np.take(self.net["inputs"], ids[t], 0, out=x, mode="clip")
-            np.dot(h, self.net["recur"], out=u)
+            np.dot(near, self.net["recur"], out=u)
             np.add(x[:, : 2 * HIDDEN], u[:, : 2 * HIDDEN], out=gates)
             np.negative(gates, out=gates)
             np.exp(gates, out=gates)
@@ -188,7 +205,9 @@ class Reader:
             h -= n
             h *= gates[:, HIDDEN:]
             h += n
-            self.out[t] = h
+            np.add(h, _ROUNDS, out=near)
+            near -= _ROUNDS
+            self.out[t] = near
         return self.out[: len(ids)]
 
     def logs(self, hidden: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -199,9 +218,8 @@ class Reader:
         logits = np.dot(flat, self.net["classes"], out=self.logits[: len(flat)])
         logits += self.net["class_bias"]
         picked = logits[rows, group].astype(np.float64)
-        ones = np.ones(KNOWN // CLASS, np.float32)
         np.exp(np.minimum(logits, 80, out=logits), out=logits)
-        out = picked - np.log(logits @ ones)
+        out = picked - np.log(logits.sum(1))
         order = np.argsort(group.astype(np.int8), kind="stable")
         cuts = np.searchsorted(group[order], np.arange(KNOWN // CLASS + 1))
         for c in np.flatnonzero(np.diff(cuts)):
@@ -296,17 +314,20 @@ def lanes(texts: list[np.ndarray], width: int):
 
 
 def text_scores(net: dict, texts: list[np.ndarray]) -> np.ndarray:
-    """Natural log-likelihood of every text; the state is carried from window to window to its end."""
-    out = np.zeros(len(texts))
+    """Natural log-likelihood of every text; the state is carried from window to window to its end.
+
+    Products are exact (``Reader``) and a text's logs are added up in its own order, so equal texts score equally, bit by bit.
+    """
     if not texts:
-        return out
+        return np.zeros(0)
     inputs, targets, owner, fresh = lanes(texts, LANES)
-    reader = Reader(net, inputs.shape[1])
+    reader, logs, owners = Reader(net, inputs.shape[1]), [], []
     for low in range(0, len(inputs), reader.STEPS):
         part = slice(low, low + reader.STEPS)
-        logs, own = reader.logs(reader.hidden(inputs[part], fresh[part]), targets[part]), owner[part].ravel()
-        out += np.bincount(own[own >= 0], weights=logs[own >= 0], minlength=len(texts))
-    return out
+        own = owner[part].ravel()
+        logs.append(reader.logs(reader.hidden(inputs[part], fresh[part]), targets[part])[own >= 0])
+        owners.append(own[own >= 0])
+    return np.bincount(np.concatenate(owners), weights=np.concatenate(logs), minlength=len(texts))
 
 
 def fit(net: dict, texts: list[np.ndarray], seed: int) -> dict:
@@ -400,18 +421,20 @@ def _net_sums(batches: Iterator):
 def trained(spark, encoded: DataFrame, n: int) -> dict:
     """The network after every training report has been read once.
 
-    Each report belongs to a shard and a round by a hash; in a round every shard fits the network on its reports of the round,
+    Each report belongs to a shard and a round by a hash of its id and words; in a round every shard fits the network on its reports of the round,
     then the networks' mean goes on. Sums run in tasks of two levels, so the driver gets at most 8 networks (0.5 MB each).
     """
     net, kind = new_network(), "shard int, n long, net binary"
     count = max(1, n // SHARD)
-    dealt = F.pmod(F.xxhash64("report_id", F.monotonically_increasing_id()), F.lit(count * AVERAGES))
-    shards = staged(encoded.select("ids", F.floor(dealt / AVERAGES).cast("int").alias("shard"), (dealt % AVERAGES).cast("int").alias("turn")), "lm-shards")
+    # equal rows are counted and numbered: they spread over the shards, and the file layout does not matter
+    copies = encoded.groupBy("report_id", "ids").agg(F.count("*").alias("n")).select("report_id", "ids", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    dealt = F.pmod(F.xxhash64("report_id", "ids", "copy"), F.lit(count * AVERAGES))
+    shards = staged(copies.select("ids", F.floor(dealt / AVERAGES).cast("int").alias("shard"), (dealt % AVERAGES).cast("int").alias("turn")), "lm-shards")
     for turn in range(AVERAGES):
         spread = spark.sparkContext.broadcast(pickle.dumps(net))
         sums = shards.where(F.col("turn") == turn).repartition(count, "shard").groupBy("shard").applyInPandas(_fit_shard(spread), kind)
         for parts in (math.isqrt(count), 8):
-            sums = sums.repartition(parts, "shard").mapInArrow(_net_sums, kind)
+            sums = sums.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_net_sums, kind)
         fitted = [(r["n"], pickle.loads(r["net"])) for r in sums.collect()]
         if fitted:
             net = {k: (sum(m[k] for _, m in fitted) / sum(w for w, _ in fitted)).astype(np.float32) for k in net}
