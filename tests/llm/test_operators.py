@@ -228,3 +228,39 @@ def test_a_very_long_text_gets_few_lanes():
     long, short = np.full(200_000, 5, np.int32), [np.array([7, 1], np.int32)] * 50
     net = fit(new_network(), [long[:5000], *short], 0)
     assert np.isclose(text_scores(net, [long, *short])[1], text_scores(net, short)[0], atol=1e-3) and np.isfinite(text_scores(net, [long])).all()
+
+
+def test_numerals_are_no_letters():
+    assert not any(map(language_codes.has_letter, ["", "½", "²", "Ⅷ", "12 ½ ①", "_-_", "🙂"]))
+    assert all(map(language_codes.has_letter, ["a", "½ é", "Ⅷ x", "中", "ª"]))
+
+
+def test_clashing_and_repeated_rows_of_the_classifiers(spark):
+    from panelwright.llm.common import near_ids, without
+    from panelwright.llm.queries import reports as as_reports
+
+    rows = [(k % 40, f"good text number {k}" if k % 2 else "buy now " * 9, "en", "s", 9, 1, 2) for k in range(400)] + [(7, "one text", "en", "s", 9, 1, 2)] * 500
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, report_id int, _bucket int")
+    plain = as_reports(frame)
+    assert plain.columns.count("report_id") == 1 and plain.schema["report_id"].dataType.simpleString() == "bigint"
+    found = language_codes.languages(plain)
+    assert found.count() == 900 and {r.held_out for r in found.select("report_id", "held_out").where("report_id = 7").collect()} == {zlib.crc32(b"7") % 5 == 0}
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)] + [(k + 10_000, 0) for k in range(5000)], "report_id long, quality int")
+    judged = co_training.co_trained_quality(plain, labels).collect()
+    assert len(judged) == 900 and {r.kept for r in judged} == {True, False}  # labels without a report do not crowd out the others
+    ids = spark.createDataFrame([(7,)], "doc_id long")
+    assert without(frame, "doc_id", ids).columns == frame.columns and without(frame, "doc_id", ids).where("doc_id = 7").count() == 0
+    assert near_ids(frame, "doc_id", ids).where("doc_id = 7").count() == 510
+
+
+@pytest.mark.parametrize("name", ["round_trip", "quality", "article", "packed", "counts", "language", "archive"])
+def test_empty_tables(spark, name):
+    empty = spark.createDataFrame([], "report_id long, text string, lang string, source string, n_chars long")
+    pages = spark.createDataFrame([], "page_id long, source_url string, html string")
+    labels = spark.createDataFrame([], "report_id long, quality int")
+    made = {
+        "round_trip": lambda: token_codec.round_trip(empty, tokenizer_path(BYTE_VOCABULARY)), "quality": lambda: co_training.co_trained_quality(empty, labels),
+        "article": lambda: article_text.article_text(pages), "packed": lambda: packing.packed(empty, tokenizer_path(WORD_VOCABULARY)),
+        "counts": lambda: token_cache.token_counts(empty, shared_dir(spark, f"cache-{np.random.default_rng().integers(1 << 60)}"), tokenizer_path(BYTE_VOCABULARY)),
+        "language": lambda: language_codes.languages(empty), "archive": lambda: exact_copies.exact_copies(empty)}
+    assert made[name]().count() == 0
